@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions import items as I
 from ..functions import text as T
+from .metrics import observed
 
 ITEM_COLUMNS = [
     "supplier_name", "item_description", "manufacturer_part_number", "original_uom",
@@ -104,7 +105,8 @@ def extract_from_lines(lines: DataFrame, line: str = "line", supplier: str = "su
                                    threshold=threshold, missing_uom=missing_uom)
     s7 = s6.withColumn("escalation_reasons", reasons)
     s8 = s7.withColumn("escalation_flag", F.size("escalation_reasons") > 0)
-    return s8.select(*keep, *ITEM_COLUMNS)
+    return observed(s8.select(*keep, *ITEM_COLUMNS), "line_items", F.count(F.lit(1)).alias("items"),
+                    F.count_if("escalation_flag").alias("escalated"))
 
 
 def extract_line_items(docs: DataFrame, keys: list[str], text: str = "text",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import lookup as LK
+from .metrics import observed
 
 MAX_INLINE_KEYWORDS = 2000
 
@@ -172,7 +173,9 @@ def resolve_uom(items: DataFrame, keys: list[str] | None = None, rules=None,
             "raw_response:string>>")).alias("lookup_attempts"),
     ]
     out_cols = [updated[c].alias(c) if c in updated else F.col(c) for c in base_cols]
-    return s4.select(*out_cols, *extra)
+    return observed(s4.select(*out_cols, *extra), "resolve_uom",
+                    F.count_if(F.col("lookup_success").isNotNull()).alias("attempted"),
+                    F.count_if(F.col("lookup_success")).alias("resolved"))
 
 
 def lookup_audit(resolved: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -1 +1,210 @@
-"""Registered queries (placeholder)."""
+"""Registered job-table queries (O-04..O-10, O-14, O-15, O-20, O-22..O-24,
+O-35, O-60)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import jobs as J
+from ..session import shared_dir
+from ..sources import sinks as SK
+from . import fixtures as FX
+from . import oracle as O
+from .catalog import _sql_items, line_items_table, register
+
+# ------------------------------------------------------------------ shared SQL
+
+_JOB_ITEMS = _sql_items(True).rstrip() + ",\n" + O.cte_jobs() + """,
+it AS (SELECT concat('job_', cast(o_orderkey AS varchar)) AS job_id, * EXCLUDE (o_orderkey) FROM items)
+"""
+
+_OPTS = ("coalesce(json_extract(options, '$.enable_agentic_lookup')::BOOLEAN, {d}) AS enable_agentic_lookup, "
+         "json_extract_string(options, '$.supplier_name') AS option_supplier_name, "
+         "json_extract_string(options, '$.batch_id') AS batch_id")
+
+_RESULTS = _JOB_ITEMS.rstrip() + """,
+inv_docs AS (SELECT j.job_id, i.txt FROM jobs j LEFT JOIN invoices i ON j.o_orderkey = i.o_orderkey),
+cnt AS (SELECT job_id, count(*) AS n, sum(CASE WHEN escalation_flag THEN 1 ELSE 0 END) AS e FROM it GROUP BY job_id),
+results AS (
+  SELECT d.job_id,
+    CASE WHEN coalesce(trim(d.txt), '') = '' THEN 'failed' ELSE 'completed' END AS status,
+    CASE WHEN coalesce(trim(d.txt), '') = '' THEN 'No text extracted from PDF' END AS error_message,
+    CASE WHEN coalesce(trim(d.txt), '') = '' THEN 0 ELSE coalesce(c.n, 0) END AS total_line_items,
+    CASE WHEN coalesce(trim(d.txt), '') = '' THEN 0 ELSE coalesce(c.e, 0) END AS escalation_count
+  FROM inv_docs d LEFT JOIN cnt c USING (job_id))
+"""
+
+
+def _jobs(spark, sf_dir):
+    return FX.render_jobs(spark, sf_dir)
+
+
+def _results(spark, sf_dir):
+    jobs = _jobs(spark, sf_dir)
+    inv = FX.render_invoices(spark, sf_dir)
+    docs = jobs.join(inv.select("o_orderkey", "txt"), "o_orderkey", "left").select("job_id", F.col("txt").alias("text"))
+    return J.job_result_rows(docs, line_items_table(spark, sf_dir))
+
+
+@register("json_options", "WITH " + O.cte_jobs() + f"\nSELECT job_id, {_OPTS.format(d='true')} FROM jobs")
+def q_json_options(spark, sf_dir):
+    return J.json_options(_jobs(spark, sf_dir)).select(
+        "job_id", "enable_agentic_lookup", "option_supplier_name", "batch_id")
+
+
+@register("filter_jobs_by_status", "WITH " + O.cte_jobs()
+          + "\nSELECT job_id, file_name, status, cast(created_at AS varchar) AS created_at FROM jobs WHERE status = 'completed'")
+def q_filter_jobs_by_status(spark, sf_dir):
+    return J.filter_jobs_by_status(_jobs(spark, sf_dir), "completed").select(
+        "job_id", "file_name", "status", F.col("created_at").cast("string").alias("created_at"))
+
+
+@register("list_jobs_page", "WITH " + O.cte_jobs() + """
+SELECT job_id, status, cast(created_at AS varchar) AS created_at,
+  (SELECT count(*) FROM jobs WHERE status = 'processing') AS total
+FROM jobs WHERE status = 'processing' ORDER BY created_at DESC, job_id LIMIT 20 OFFSET 20""")
+def q_list_jobs_page(spark, sf_dir):
+    """Second page of 20 of the jobs in processing, newest first."""
+    rows, total = J.list_jobs(_jobs(spark, sf_dir), status="processing", page=2, page_size=20)
+    return rows.select("job_id", "status", F.col("created_at").cast("string").alias("created_at"),
+                       F.lit(total).cast("bigint").alias("total"))
+
+
+@register("filter_line_items", _JOB_ITEMS + "SELECT job_id, line_no, confidence_score FROM it WHERE confidence_score >= 0.75")
+def q_filter_line_items(spark, sf_dir):
+    return J.filter_line_items(line_items_table(spark, sf_dir), min_confidence=0.75).select(
+        "job_id", "line_no", "confidence_score")
+
+
+@register("filter_line_items_escalated", _JOB_ITEMS
+          + "SELECT job_id, line_no, escalation_reasons FROM it WHERE escalation_flag")
+def q_filter_line_items_escalated(spark, sf_dir):
+    df = J.filter_line_items(line_items_table(spark, sf_dir), escalation_only=True, min_confidence=0.0)
+    return df.select("job_id", "line_no", F.array_join("escalation_reasons", ",").alias("escalation_reasons"))
+
+
+@register("delete_job_cascade", _JOB_ITEMS + """
+SELECT i.job_id, i.line_no FROM it i
+WHERE i.job_id NOT IN (SELECT job_id FROM jobs WHERE status = 'pending')""")
+def q_delete_job_cascade(spark, sf_dir):
+    """Delete every pending job and its items; the remaining items."""
+    jobs = _jobs(spark, sf_dir)
+    _, items = J.delete_jobs(jobs, line_items_table(spark, sf_dir), jobs.where(F.col("status") == "pending"))
+    return items.select("job_id", "line_no")
+
+
+@register("job_with_items", _JOB_ITEMS + """
+SELECT j.job_id, j.status, i.line_no, i.item_description
+FROM jobs j LEFT JOIN it i ON j.job_id = i.job_id AND j.status = 'completed'""")
+def q_job_with_items(spark, sf_dir):
+    items = line_items_table(spark, sf_dir).select("job_id", "line_no", "item_description")
+    return J.job_with_items(_jobs(spark, sf_dir).select("job_id", "status"), items)
+
+
+@register("zip_jobs_paths", "WITH " + O.cte_jobs() + """,
+a AS (SELECT o_orderkey % 500 AS grp, job_id, row_number() OVER (PARTITION BY o_orderkey % 500 ORDER BY job_id) AS pos
+      FROM jobs WHERE status = 'completed'),
+b AS (SELECT o_orderkey % 500 AS grp, file_path, row_number() OVER (PARTITION BY o_orderkey % 500 ORDER BY file_path) AS pos
+      FROM jobs)
+SELECT grp, pos, job_id, file_path FROM a JOIN b USING (grp, pos)""")
+def q_zip_jobs_paths(spark, sf_dir):
+    """Per upload group, completed job ids paired by position with all paths."""
+    jobs = _jobs(spark, sf_dir).withColumn("grp", F.col("o_orderkey") % 500)
+    ids = jobs.where(F.col("status") == "completed").select("grp", "job_id")
+    return J.zip_jobs_paths(ids, jobs.select("grp", "file_path"), "grp").select("grp", "pos", "job_id", "file_path")
+
+
+@register("ocr_summary", "WITH " + O.cte_pages() + """
+SELECT doc_id, count(*) AS total_pages, sum(CASE WHEN coalesce(text, '') <> '' THEN 1 ELSE 0 END) AS successful_pages,
+  round(avg(confidence), 9) AS avg_confidence, array_to_string(list_sort(list_distinct(list(method))), ',') AS methods_used,
+  arg_min(method, page_no) AS ocr_method
+FROM pages_r GROUP BY doc_id""")
+def q_ocr_summary(spark, sf_dir):
+    s = J.ocr_summary(FX.render_pages(spark, sf_dir))
+    return s.select("doc_id", "total_pages", "successful_pages", F.round("avg_confidence", 9).alias("avg_confidence"),
+                    F.array_join("methods_used", ",").alias("methods_used"), "ocr_method")
+
+
+@register("extraction_summary", _JOB_ITEMS.rstrip() + f""",
+agg AS (SELECT job_id, count(*) AS total_line_items,
+  sum(CASE WHEN coalesce(original_uom, '') <> '' THEN 1 ELSE 0 END) AS items_with_uom,
+  sum(CASE WHEN coalesce(manufacturer_part_number, '') <> '' THEN 1 ELSE 0 END) AS items_with_mpn,
+  sum(CASE WHEN escalation_flag THEN 1 ELSE 0 END) AS items_requiring_escalation,
+  avg(confidence_score) AS a FROM it GROUP BY job_id)
+SELECT j.job_id, coalesce(total_line_items, 0) AS total_line_items, coalesce(items_with_uom, 0) AS items_with_uom,
+  coalesce(items_with_mpn, 0) AS items_with_mpn, coalesce(items_requiring_escalation, 0) AS items_requiring_escalation,
+  round(coalesce(a, 0.0), 9) AS avg_confidence,
+  coalesce(json_extract(options, '$.enable_agentic_lookup')::BOOLEAN, false) AS agentic_lookup_used
+FROM jobs j LEFT JOIN agg USING (job_id)""")
+def q_extraction_summary(spark, sf_dir):
+    s = J.extraction_summary(line_items_table(spark, sf_dir), _jobs(spark, sf_dir))
+    return s.withColumn("avg_confidence", F.round("avg_confidence", 9))
+
+
+@register("job_result_rows", _RESULTS + "SELECT * FROM results")
+def q_job_result_rows(spark, sf_dir):
+    return _results(spark, sf_dir)
+
+
+@register("batch_summary", _RESULTS.rstrip() + f""",
+rb AS (SELECT r.*, json_extract_string(j.options, '$.batch_id') AS batch_id FROM results r JOIN jobs j USING (job_id))
+SELECT batch_id, count(*) AS total_files, sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS successful_files,
+  count(*) - sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS failed_files,
+  coalesce(sum(CASE WHEN status = 'completed' THEN total_line_items END), 0) AS total_line_items,
+  round(coalesce(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) / nullif(count(*), 0), 0.0), 9) AS success_rate,
+  round(coalesce(sum(CASE WHEN status = 'completed' THEN total_line_items END) / nullif(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END), 0), 0.0), 9) AS avg_items_per_file
+FROM rb GROUP BY batch_id""")
+def q_batch_summary(spark, sf_dir):
+    res = _results(spark, sf_dir).join(J.json_options(_jobs(spark, sf_dir)).select("job_id", "batch_id"), "job_id")
+    s = J.batch_summary(res, ["batch_id"])
+    return s.select("batch_id", "total_files", "successful_files", "failed_files", "total_line_items",
+                    F.round("success_rate", 9).alias("success_rate"),
+                    F.round("avg_items_per_file", 9).alias("avg_items_per_file"))
+
+
+@register("upsert_jobs", _RESULTS + """
+SELECT j.job_id, coalesce(r.status, j.status) AS status, r.total_line_items, r.escalation_count, r.error_message
+FROM jobs j LEFT JOIN results r ON j.job_id = r.job_id AND j.status <> 'pending'""")
+def q_upsert_jobs(spark, sf_dir):
+    """Results overwrite the jobs that were picked up (not pending)."""
+    jobs = _jobs(spark, sf_dir).select("job_id", "status").withColumn("total_line_items", F.lit(None).cast("int")) \
+        .withColumn("escalation_count", F.lit(None).cast("int")).withColumn("error_message", F.lit(None).cast("string"))
+    picked = jobs.where(F.col("status") != "pending").select("job_id")
+    upd = _results(spark, sf_dir).join(picked, "job_id", "left_semi")
+    out = J.upsert_jobs(jobs, upd)
+    return out.select("job_id", "status", F.col("total_line_items").cast("bigint"),
+                      F.col("escalation_count").cast("bigint"), "error_message")
+
+
+@register("sink_line_items", None)
+def q_sink_line_items(spark, sf_dir):
+    """Write the item table as partitioned Parquet and read it back."""
+    path = shared_dir(spark, "items") + "/t"
+    items = line_items_table(spark, sf_dir)
+    SK.sink_line_items(items, path)
+    return spark.read.parquet(path).select("job_id", "line_no", "escalation_flag", "confidence_score")
+
+
+@register("sink_json_documents", _JOB_ITEMS + """
+SELECT j.job_id, count(i.line_no) AS n_items, min(i.line_no) AS first_line_no
+FROM jobs j LEFT JOIN it i USING (job_id) GROUP BY j.job_id""")
+def q_sink_json_documents(spark, sf_dir):
+    """One JSON document per job, written and read back; compared on fields
+    parsed from the written JSON."""
+    items = line_items_table(spark, sf_dir)
+    docs = SK.json_documents(_jobs(spark, sf_dir).select("job_id", "file_name", "status"), items)
+    path = shared_dir(spark, "jsondocs") + "/t"
+    SK.sink_json_documents(docs, path)
+    back = spark.read.text(path)
+    li = F.from_json(F.get_json_object("value", "$.line_items"), "array<struct<line_no:int>>")
+    return back.select(F.get_json_object("value", "$.job_id").alias("job_id"),
+                       F.coalesce(F.size(li), F.lit(0)).cast("bigint").alias("n_items"),
+                       F.array_min(F.transform(li, lambda x: x["line_no"])).alias("first_line_no"))
+
+
+@register("sink_batch_summary", None)
+def q_sink_batch_summary(spark, sf_dir):
+    path = shared_dir(spark, "batch") + "/t"
+    res = _results(spark, sf_dir).join(J.json_options(_jobs(spark, sf_dir)).select("job_id", "batch_id"), "job_id")
+    SK.sink_batch_summary(J.batch_summary(res, ["batch_id"]), path)
+    return spark.read.json(path)

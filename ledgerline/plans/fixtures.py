@@ -178,3 +178,22 @@ def render_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.selectExpr("event_id", *[f"{sql(e)} as {k}" for k, e in OBS_SQL.items()])
+
+
+# ---- OCR pages: each paragraph of a document is a page ------------------------------
+PAGE_SQL = {
+    "text": "case when (doc_id + pos) % 7 = 0 then '' else para end",
+    "method": "case (doc_id + pos) % 5 " + " ".join(
+        f"when {i} then '{m}'" for i, m in enumerate(
+            ["tesseract_layout", "tesseract_multi_psm", "paddle_ocr", "openai_vision", "tesseract_raw"])) + " end",
+    "confidence": "cast((doc_id * 7 + pos * 13) % 100 as double) / 100",
+}
+
+
+def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages(doc_id, page_no, text, method, confidence): page k of a document
+    is its k-th paragraph; some pages are blank (OCR found nothing)."""
+    docs = wide(spark, sf_dir, "documents", ["doc_id", "text"])
+    paras = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "para"))
+    return paras.selectExpr("doc_id", "cast(pos + 1 as int) as page_no",
+                            *[f"{e} as {k}" for k, e in PAGE_SQL.items()])

@@ -266,3 +266,11 @@ def cte_items(src: str, name: str = "items") -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def cte_pages() -> str:
+    cols = ", ".join(f"{e} AS {k}" for k, e in FX.PAGE_SQL.items())
+    return f"""pg0 AS (
+  SELECT doc_id, unnest(w) AS para, unnest(generate_series(0, len(w) - 1)) AS pos
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents)),
+pages_r AS (SELECT doc_id, cast(pos + 1 AS integer) AS page_no, {cols} FROM pg0)"""
