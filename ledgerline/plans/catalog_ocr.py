@@ -1 +1,138 @@
-"""Registered queries (placeholder)."""
+"""Registered OCR-table queries (O-02, O-03, O-25..O-28, O-30, O-32, O-38)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed as X
+from ..functions import text as T
+from ..operators import ocr as OC
+from ..session import shared_dir
+from ..sources import tables as TB
+from . import fixtures as FX
+from . import oracle as O
+from .catalog import register
+
+_KEEP = f"conf > 40 AND {O.strip('text')} <> ''"
+
+
+@register("assemble_lines", "WITH " + O.cte_tokens() + f""",
+kept AS (SELECT *, {O.strip('text')} AS w FROM tokens WHERE {_KEEP}),
+ln AS (SELECT doc_id, page_no, concat(cast(block_num AS varchar), '_', cast(line_num AS varchar)) AS k,
+         string_agg(w, ' ' ORDER BY lft, token_idx) AS line, sum(conf) AS s, count(*) AS n
+       FROM kept GROUP BY ALL),
+pg AS (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY k) AS txt, sum(s) / sum(n) / 100.0::DOUBLE AS c
+       FROM ln GROUP BY ALL),
+allp AS (SELECT DISTINCT doc_id, page_no FROM tokens)
+SELECT a.doc_id, a.page_no, {O.clean_text('coalesce(pg.txt, ' + "''" + ')')} AS text, coalesce(pg.c, 0.0::DOUBLE) AS confidence
+FROM allp a LEFT JOIN pg USING (doc_id, page_no)""")
+def q_assemble_lines(spark, sf_dir):
+    return OC.assemble_lines(FX.render_tokens(spark, sf_dir))
+
+
+@register("assemble_detected_lines", "WITH " + O.cte_tokens() + f""",
+det AS (SELECT doc_id, page_no, token_idx AS idx, text, cast(conf AS double) / 100 AS conf FROM tokens),
+pg AS (SELECT doc_id, page_no,
+         string_agg(CASE WHEN conf > 0.5 AND text <> '' THEN text END, chr(10) ORDER BY idx) AS txt,
+         avg(CASE WHEN conf > 0.5 AND text <> '' THEN conf END) AS c
+       FROM det GROUP BY ALL)
+SELECT doc_id, page_no, {O.clean_text('coalesce(txt, ' + "''" + ')')} AS text, coalesce(c, 0.0::DOUBLE) AS confidence FROM pg""")
+def q_assemble_detected_lines(spark, sf_dir):
+    d = OC.assemble_detected_lines(FX.render_detections(spark, sf_dir))
+    return d.withColumn("confidence", F.col("confidence"))
+
+
+@register("token_confidence_stats", "WITH " + O.cte_tokens() + """,
+v AS (SELECT doc_id, page_no, CASE WHEN regexp_full_match(cast(conf AS varchar), '[0-9]+') THEN conf END AS c FROM tokens)
+SELECT doc_id, page_no, round_even(avg(c), 2) AS mean_confidence, round_even(quantile_cont(c, 0.5), 2) AS median_confidence,
+  min(c) AS min_confidence, max(c) AS max_confidence,
+  count(CASE WHEN c < 60 THEN 1 END) AS low_confidence_words, count(CASE WHEN c > 80 THEN 1 END) AS high_confidence_words,
+  count(c) AS total_words, count(CASE WHEN c < 40 THEN 1 END) AS very_low,
+  count(CASE WHEN c >= 40 AND c < 60 THEN 1 END) AS low, count(CASE WHEN c >= 60 AND c < 80 THEN 1 END) AS medium,
+  count(CASE WHEN c >= 80 THEN 1 END) AS high,
+  CASE WHEN count(c) = 0 THEN 'No confidence data available' END AS error
+FROM v GROUP BY ALL""")
+def q_token_confidence_stats(spark, sf_dir):
+    s = OC.token_confidence_stats(FX.render_tokens(spark, sf_dir))
+    return s.withColumn("min_confidence", F.col("min_confidence").cast("int")) \
+            .withColumn("max_confidence", F.col("max_confidence").cast("int"))
+
+
+def _pass_sql() -> str:
+    parts = []
+    for m, (n, c) in X.OCR_ACCEPT.items():
+        cond = f"length(text) > {n}" + ("" if c is None else f" AND confidence > {c}")
+        parts.append(f"WHEN method = '{m}' THEN {cond}")
+    return f"CASE {' '.join(parts)} WHEN method = 'tesseract_raw' THEN true ELSE false END"
+
+
+@register("select_ocr_candidate", "WITH " + O.cte_candidates() + f""",
+ok AS (SELECT *, {_pass_sql()} AS pass FROM candidates),
+best AS (SELECT doc_id, page_no, arg_min(method, priority) AS method, arg_min(text, priority) AS text,
+           arg_min(confidence, priority) AS confidence FROM ok WHERE pass GROUP BY ALL)
+SELECT doc_id, page_no, method, text, confidence, CASE WHEN text = '' THEN 'All advanced methods failed' END AS error FROM best""")
+def q_select_ocr_candidate(spark, sf_dir):
+    return OC.select_ocr_candidate(FX.render_candidates(spark, sf_dir))
+
+
+_PSM = f"""runs AS (SELECT doc_id, 1 AS page_no, psm, {FX.PSM_SQL} AS text
+  FROM documents CROSS JOIN (VALUES (6), (4), (3)) v(psm)),
+sc AS (SELECT *, CASE WHEN length(text) > 50 THEN
+         length(text) * 0.3::DOUBLE + {O.count_class('text', '\\p{L}\\p{N}')} / greatest(length(text), 1) * 2000.0::DOUBLE
+         + len(string_split(text, chr(10))) * 50.0::DOUBLE END AS score,
+         CASE psm WHEN 6 THEN 0 WHEN 4 THEN 1 ELSE 2 END AS o FROM runs)"""
+
+
+@register("best_psm", f"WITH {_PSM},\n" + f"""best AS (SELECT doc_id, page_no, arg_max(psm, (score, -o)) AS psm, arg_max(text, (score, -o)) AS text,
+  max(score) AS score FROM sc WHERE score IS NOT NULL GROUP BY ALL),
+allp AS (SELECT DISTINCT doc_id, page_no FROM runs)
+SELECT a.doc_id, a.page_no, b.psm, coalesce({O.clean_text('b.text')}, '') AS text,
+  coalesce(least(0.9::DOUBLE, b.score / 3000.0::DOUBLE), 0.0::DOUBLE) AS confidence
+FROM allp a LEFT JOIN best b USING (doc_id, page_no)""")
+def q_best_psm(spark, sf_dir):
+    return OC.best_psm(FX.render_psm_runs(spark, sf_dir))
+
+
+@register("concat_pages", "WITH " + O.cte_pages() + """
+SELECT doc_id, coalesce(string_agg(CASE WHEN text <> '' THEN text END, chr(10) || chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10) ORDER BY page_no), '') AS text,
+  count(*) AS total_pages FROM pages_r GROUP BY doc_id""")
+def q_concat_pages(spark, sf_dir):
+    return OC.concat_pages(FX.render_pages(spark, sf_dir), style="worker")
+
+
+@register("concat_pages_cli", "WITH " + O.cte_pages() + """
+SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS text, count(*) AS total_pages
+FROM pages_r GROUP BY doc_id""")
+def q_concat_pages_cli(spark, sf_dir):
+    return OC.concat_pages(FX.render_pages(spark, sf_dir), style="cli")
+
+
+@register("scan_tokens", "WITH " + O.cte_tokens() + "\nSELECT doc_id, page_no, token_idx, conf FROM tokens")
+def q_scan_tokens(spark, sf_dir):
+    """Write the token table as Parquet and scan it back (O-03)."""
+    path = shared_dir(spark, "tokens") + "/t"
+    FX.render_tokens(spark, sf_dir).write.parquet(path)
+    return TB.scan_tokens(spark, path).select("doc_id", "page_no", "token_idx", "conf")
+
+
+@register("scan_pages", "WITH " + O.cte_pages() + "\nSELECT doc_id, page_no, length(text) AS n_chars, method FROM pages_r")
+def q_scan_pages(spark, sf_dir):
+    """Write page rows as Parquet partitioned by method and scan them back (O-02)."""
+    path = shared_dir(spark, "pages") + "/t"
+    FX.render_pages(spark, sf_dir).write.partitionBy("method").parquet(path)
+    p = TB.scan_pages(spark, path)
+    return p.select("doc_id", "page_no", F.length("text").alias("n_chars"), "method")
+
+
+@register("scan_page_files", None)
+def q_scan_page_files(spark, sf_dir):
+    """Page text files, one folder per document (O-02, text source): the
+    paged documents written as text files and read back with ``wholetext``."""
+    base = shared_dir(spark, "pagefiles")
+    pages = FX.render_pages(spark, sf_dir).where(F.col("text") != "")
+
+
+    (pages.select(F.col("doc_id").cast("string").alias("doc"), F.lpad(F.col("page_no").cast("string"), 6, "0")
+                  .alias("p"), "text")
+     .write.partitionBy("doc", "p").text(base + "/files"))
+    return TB.scan_page_files(spark, base + "/files", glob="*.txt", doc_pattern=r"/doc=([^/]+)/")

@@ -53,8 +53,8 @@ DIRTY_SQL = ("replace(text, '. ', concat('.', chr(7), chr(9), '  ', chr(10), ' '
 
 # ---- OCR tokens: every word of every document ------------------------------------
 TOKEN_SQL = {
-    "block_num": "cast(pos div 60 + 1 as int)",
-    "line_num": "cast((pos div 5) % 12 + 1 as int)",
+    "block_num": "cast(floor(pos / 60) + 1 as int)",
+    "line_num": "cast(cast(floor(pos / 5) as bigint) % 12 + 1 as int)",
     "lft": "cast((pos * 37) % 200 as int)",
     "conf": "cast((doc_id * 31 + pos * 17) % 101 as int)",
 }
@@ -197,3 +197,21 @@ def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     paras = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "para"))
     return paras.selectExpr("doc_id", "cast(pos + 1 as int) as page_no",
                             *[f"{e} as {k}" for k, e in PAGE_SQL.items()])
+
+
+def render_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """detections(doc_id, page_no, idx, text, conf): each token as a detected
+    line with a confidence in [0, 1]."""
+    return render_tokens(spark, sf_dir).selectExpr(
+        "doc_id", "page_no", "token_idx as idx", "text", "cast(conf as double) / 100 as conf")
+
+
+PSM_SQL = ("case psm when 6 then text when 4 then replace(text, '. ', concat('.', chr(10))) "
+           "else case when doc_id % 4 = 0 then '' else concat(text, chr(10), '###') end end")
+
+
+def render_psm_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """psm_runs(doc_id, page_no, psm, text): three page-segmentation runs per document."""
+    docs = wide(spark, sf_dir, "documents", ["doc_id", "text"])
+    runs = docs.select("doc_id", "text", F.explode(F.array(F.lit(6), F.lit(4), F.lit(3))).alias("psm"))
+    return runs.selectExpr("doc_id", "1 as page_no", "psm", f"{PSM_SQL} as text")

@@ -32,16 +32,18 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scan_page_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """One page per text file: ``(doc_id, page_no, text)``; the document is
-    the file's folder and pages are numbered from 1 by file name order
-    within it (O-02)."""
+def scan_page_files(spark: SparkSession, path: str, glob: str = "*.txt",
+                    doc_pattern: str = r"^(.*)/[^/]+$") -> DataFrame:
+    """One page per text file: ``(doc_id, page_no, text)``; the document id
+    is group 1 of ``doc_pattern`` on the file path (default: the folder)
+    and pages are numbered from 1 in path order within it (O-02).  The
+    numbering window holds one document's pages."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
     df = (spark.read.option("wholetext", "true").option("pathGlobFilter", glob)
           .option("recursiveFileLookup", "true").text(path)
           .select(F.input_file_name().alias("path"), F.col("value").alias("text")))
-    df = df.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("doc_id"), "path", "text")
+    df = df.select(F.regexp_extract("path", doc_pattern, 1).alias("doc_id"), "path", "text")
     w = Window.partitionBy("doc_id").orderBy("path")
     return df.select("doc_id", F.row_number().over(w).alias("page_no"), "text")
 
