@@ -1 +1,156 @@
-"""Registered queries (placeholder)."""
+"""Registered file and stream queries (O-01, O-19, O-33, O-59, O-61..O-64).
+
+Stream queries write their input rows (rendered from the tables) as files
+in a fresh folder under the shared checkpoint folder, run the stream with
+``availableNow`` (several micro-batches: one file per trigger), and return
+what the sink holds, read back as a batch DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import extract as E
+from ..session import shared_dir
+from ..streaming import ingest as S
+from . import fixtures as FX
+from . import oracle as O
+from .catalog import ITEM_OUT, _sql_items, register
+
+_OBS = "WITH " + O.cte_observations() + "\n"
+
+
+def _obs(spark, sf_dir):
+    return FX.render_observations(spark, sf_dir).withColumn("file_hash", F.md5(F.col("content")))
+
+
+def _write_inputs(df, name, spark, files=4):
+    path = shared_dir(spark, name) + "/in"
+    df.repartition(files).write.parquet(path)
+    return path
+
+
+@register("file_hash", _OBS + "SELECT event_id, path, md5(content) AS file_hash FROM observations")
+def q_file_hash(spark, sf_dir):
+    return S.file_hash(FX.render_observations(spark, sf_dir)).select("event_id", "path", "file_hash")
+
+
+@register("unprocessed_files", "WITH " + O.cte_observations() + """,
+obs AS (SELECT o.event_id, concat('/in/', cast(e.user_id AS varchar), '/', cast(o.event_id AS varchar), '.pdf') AS path,
+          md5(o.content) AS file_hash, e.event_type, e.value FROM observations o JOIN events e USING (event_id)),
+done AS (SELECT path, file_hash FROM obs WHERE event_type = 'error' AND value > 450)
+SELECT event_id, path, file_hash FROM obs
+WHERE path NOT IN (SELECT path FROM done) AND file_hash NOT IN (SELECT file_hash FROM done)""")
+def q_unprocessed_files(spark, sf_dir):
+    """Every event is a file version; files of high-value error events are
+    the processed ones.  The rest minus anything processed by path or by
+    content."""
+    ev = FX.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    obs = _obs(spark, sf_dir).select("event_id", "file_hash").join(ev, "event_id").select(
+        "event_id", F.format_string("/in/%d/%d.pdf", "user_id", "event_id").alias("file_path"), "file_hash",
+        "event_type", "value")
+    state = obs.where((F.col("event_type") == "error") & (F.col("value") > 450)).select(
+        "file_path", "file_hash", F.lit(True).alias("processed"))
+    out = S.unprocessed_files(obs.select("event_id", "file_path", "file_hash"), state)
+    return out.select("event_id", F.col("file_path").alias("path"), "file_hash")
+
+
+@register("stable_files", _OBS + """,
+o AS (SELECT *, lag(size) OVER (PARTITION BY path ORDER BY observed_at, event_id) AS prev,
+        min(observed_at) OVER (PARTITION BY path) AS first_seen FROM observations),
+q AS (SELECT path, first_seen, count(*) AS observations,
+        arg_min(observed_at, (observed_at, event_id)) FILTER (WHERE size = prev AND size > 0 AND observed_at <= first_seen + INTERVAL 30 SECOND) AS ready_at,
+        arg_min(size, (observed_at, event_id)) FILTER (WHERE size = prev AND size > 0 AND observed_at <= first_seen + INTERVAL 30 SECOND) AS ready_size
+      FROM o GROUP BY path, first_seen)
+SELECT path, cast(first_seen AS varchar) AS first_seen, cast(ready_at AS varchar) AS ready_at, ready_size,
+  CASE WHEN ready_at IS NOT NULL THEN 'ready' ELSE 'timeout' END AS status, observations FROM q""".replace("\n,", ",", 1))
+def q_stable_files(spark, sf_dir):
+    s = S.stable_files(FX.render_observations(spark, sf_dir), timeout_s=30)
+    return s.select("path", F.col("first_seen").cast("string").alias("first_seen"),
+                    F.col("ready_at").cast("string").alias("ready_at"), "ready_size", "status", "observations")
+
+
+@register("scan_files", None)
+def q_scan_files(spark, sf_dir):
+    """Observation contents written as one text file per user folder, then
+    listed and hashed with the binary-file source (O-01 + O-59)."""
+    base = shared_dir(spark, "files")
+    obs = FX.render_observations(spark, sf_dir).select(
+        F.regexp_extract("path", r"/in/(\d+)\.pdf", 1).alias("user"), "content")
+    obs.write.partitionBy("user").text(base + "/docs")
+    files = S.scan_files(spark, base + "/docs", glob="*.txt", with_hash=True, suffix=".txt", recursive=True)
+    return files.select(F.regexp_extract("file_path", r"user=(\d+)", 1).alias("user"), "file_size", "file_hash")
+
+
+@register("stream_ingest", _OBS + "SELECT event_id, path, md5(content) AS file_hash FROM observations")
+def q_stream_ingest(spark, sf_dir):
+    """File-arrival records streamed in one file per trigger (O-61)."""
+    obs = _obs(spark, sf_dir)
+    src = _write_inputs(obs, "ingest", spark)
+    stream = S.read_table_stream(spark, src, obs.schema, max_files=1)
+    out = src.rsplit("/", 1)[0] + "/out"
+    q = (stream.select("event_id", "path", "file_hash").writeStream.format("parquet")
+         .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("stream_dedupe", _OBS + "SELECT DISTINCT md5(content) AS file_hash FROM observations")
+def q_stream_dedupe(spark, sf_dir):
+    """Content-hash de-duplication over the stream (O-62): each hash once."""
+    obs = _obs(spark, sf_dir)
+    src = _write_inputs(obs, "dedupe", spark)
+    stream = S.dedupe_stream(S.read_table_stream(spark, src, obs.schema, max_files=1))
+    out = src.rsplit("/", 1)[0] + "/out"
+    q = (stream.select("file_hash").writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("stream_dedupe_watermark", _OBS + "SELECT DISTINCT md5(content) AS file_hash FROM observations")
+def q_stream_dedupe_watermark(spark, sf_dir):
+    """Bounded-state variant: duplicates within an hour of event time are
+    dropped; the set of hashes that reach the sink is every hash."""
+    obs = _obs(spark, sf_dir)
+    src = _write_inputs(obs, "dedupe_wm", spark)
+    stream = S.dedupe_stream(S.read_table_stream(spark, src, obs.schema, max_files=1),
+                             event_time="observed_at", delay="1 hour")
+    out = src.rsplit("/", 1)[0] + "/out"
+    q = (stream.select("file_hash").writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    return spark.read.parquet(out).select("file_hash").distinct()
+
+
+def _run_extraction_stream(spark, sf_dir):
+    inv = FX.render_invoices(spark, sf_dir).select(
+        "o_orderkey", F.concat(F.lit("/in/"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("file_path"),
+        "txt", F.md5("txt").alias("file_hash"), F.current_timestamp().alias("modificationTime"))
+    src = _write_inputs(inv, "extract", spark)
+    stream = S.read_table_stream(spark, src, inv.schema, max_files=1)
+    out = src.rsplit("/", 1)[0] + "/out"
+
+    def per_batch(batch, batch_id):
+        items = E.flatten_items(E.extract_line_items(batch, ["o_orderkey"], text="txt"))
+        return {"items": items, "state": S.file_state_rows(batch, batch_id)}
+
+    q = S.start_extraction(stream, out, out + "_ckpt", per_batch)
+    q.awaitTermination()
+    return out
+
+
+@register("stream_extract", _sql_items(True) + "SELECT o_orderkey, " + ", ".join(ITEM_OUT) + " FROM items")
+def q_stream_extract(spark, sf_dir):
+    """Extraction per micro-batch equals the batch extraction (O-63)."""
+    out = _run_extraction_stream(spark, sf_dir)
+    return spark.read.parquet(out + "/items").select("o_orderkey", *ITEM_OUT)
+
+
+@register("file_state", "WITH " + O.cte_invoices() + """
+SELECT concat('/in/', cast(o_orderkey AS varchar), '.pdf') AS file_path, md5(txt) AS file_hash, true AS processed,
+  concat('job_', substring(md5(txt), 1, 12)) AS job_id FROM invoices""")
+def q_file_state(spark, sf_dir):
+    """Per-file bookkeeping written by the extraction stream (O-64)."""
+    out = _run_extraction_stream(spark, sf_dir)
+    st = S.current_file_state(spark.read.parquet(out + "/state"))
+    return st.select("file_path", "file_hash", "processed", "job_id")

@@ -88,7 +88,9 @@ OBS_SQL = {
 
 
 def sql(expr: str, dialect: str = "spark") -> str:
-    return expr.format(s="string" if dialect == "spark" else "varchar")
+    if dialect == "spark":
+        return expr.format(s="string")
+    return expr.format(s="varchar").replace("get_json_object(", "json_extract_string(")
 
 
 # ======================================================================= Spark side
