@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as X
-from .items import strip
+from .items import contains_any, strip
 
 
 def _c(c: Column | str) -> Column:
@@ -80,14 +80,14 @@ def _tier3_ok(s: Column) -> Column:
             & ~(count_matching(s, r"\p{Nd}") > n * 0.5)
             & s.rlike(r"^\p{Lu}") & (n > 5)
             & (F.try_divide(count_matching(s, r"\p{L}"), n) > 0.6)
-            & F.upper(s).rlike(_alt(X.SUPPLIER_TIER3_MARKERS)))
+            & contains_any(F.upper(s), X.SUPPLIER_TIER3_MARKERS))
 
 
 def _tier4_ok(s: Column) -> Column:
     n = F.length(s)
     return ((n > 8) & s.rlike(r"^\p{Lu}")
             & (F.try_divide(count_matching(s, r"\p{L}\s"), n) > 0.7)
-            & ~F.lower(s).rlike(_alt(X.SUPPLIER_TIER4_SKIP)))
+            & ~contains_any(F.lower(s), X.SUPPLIER_TIER4_SKIP))
 
 
 def supplier_header(lines: Column) -> Column:
@@ -127,9 +127,18 @@ def _count_newlines(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
 
 
+def _first_pos(text: Column, words: list[str]) -> Column:
+    """1-based character position of the earliest occurrence of any word, or null."""
+    return F.least(*[F.nullif(F.instr(text, w), F.lit(0)) for w in words])
+
+
 def footer_region(lowered: Column) -> Column:
-    """Lower-cased text up to the end of the first footer line, '' if none."""
-    return F.regexp_extract(lowered, r"(?s)^(.*?(?:%s)[^\n]*)" % _alt(X.TABLE_FOOTER_WORDS), 1)
+    """Lower-cased text up to the end of the first line holding a footer
+    word, '' when there is none.  ``instr`` works in characters, as
+    ``substring`` does."""
+    pos = _first_pos(lowered, X.TABLE_FOOTER_WORDS)
+    line_end = F.substring_index(F.substring(lowered, pos, 1 << 30), "\n", 1)
+    return F.when(pos.isNotNull(), F.concat(F.substring(lowered, 1, pos - 1), line_end)).otherwise(F.lit(""))
 
 
 def table_end(lowered: Column, region: Column) -> Column:
@@ -138,16 +147,19 @@ def table_end(lowered: Column, region: Column) -> Column:
 
 
 def table_start(lowered: Column, region: Column) -> Column:
-    """1 + the last line at or before the footer line holding a header word,
-    else 0 (O-41): the greedy prefix ends at the last header word."""
+    """1 + the last line at or before the footer line holding a header
+    word, else 0 (O-41).  The last occurrence is the first one in the
+    reversed text."""
     scope = F.when(region != "", region).otherwise(lowered)
-    upto = F.regexp_extract(scope, r"(?s)^(.*(?:%s))" % _alt(X.TABLE_HEADER_WORDS), 1)
-    return F.when(upto != "", _count_newlines(upto) + 1).otherwise(F.lit(0))
+    rev = F.reverse(scope)
+    rpos = _first_pos(rev, [w[::-1] for w in X.TABLE_HEADER_WORDS])
+    after = _count_newlines(F.substring(rev, 1, rpos - 1))
+    return F.when(rpos.isNotNull(), _count_newlines(scope) - after + 1).otherwise(F.lit(0))
 
 
 def table_bounds(text: Column) -> Column:
-    """struct<start, end> of the item table in ``text`` (O-41).  Whole-text
-    regexes and newline counts: no per-line lambda."""
+    """struct<start, end> of the item table in ``text`` (O-41): positions of
+    the footer and header words and newline counts, no per-line lambda."""
     lowered = F.lower(text)
     region = footer_region(lowered)
     return F.struct(table_start(lowered, region).alias("start"), table_end(lowered, region).alias("end"))
@@ -155,7 +167,7 @@ def table_bounds(text: Column) -> Column:
 
 def is_candidate_line(s: Column) -> Column:
     """Stripped line of length >=5 with a digit and no skip word (O-11)."""
-    return ((F.length(s) >= X.LINE_MIN_LENGTH) & ~F.lower(s).rlike(_alt(X.LINE_SKIP_WORDS))
+    return ((F.length(s) >= X.LINE_MIN_LENGTH) & ~contains_any(F.lower(s), X.LINE_SKIP_WORDS)
             & s.rlike(r"\d"))
 
 

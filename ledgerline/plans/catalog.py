@@ -175,8 +175,10 @@ def q_normalize_supplier(spark, sf_dir):
     + "SELECT o_orderkey, t_start AS table_start, t_end AS table_end, len(ls) AS n_lines FROM cand_b")
 def q_table_bounds(spark, sf_dir):
     inv = FX.render_invoices(spark, sf_dir).select("o_orderkey", T.clean_text("txt").alias("t"))
-    b = T.table_bounds(F.col("t"))
-    return inv.select("o_orderkey", b["start"].alias("table_start"), b["end"].alias("table_end"),
+    low = inv.select("o_orderkey", "t", F.lower("t").alias("lt"))
+    reg = low.select("*", T.footer_region(F.col("lt")).alias("r"))
+    return reg.select("o_orderkey", T.table_start(F.col("lt"), F.col("r")).alias("table_start"),
+                      T.table_end(F.col("lt"), F.col("r")).alias("table_end"),
                       F.size(F.split("t", "\n")).alias("n_lines"))
 
 

@@ -121,7 +121,7 @@ def render_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     the join's hash partitioning on the order key is reused by the group
     (one exchange per side).  An order holds a bounded number of lines."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    lines = render_lines(spark, sf_dir, spread_out=False)  # the order join shuffles anyway
+    lines = render_lines(spark, sf_dir)
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     body = (joined.groupBy("o_orderkey", "o_custkey", "o_totalprice")
             .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "line")))
