@@ -136,3 +136,54 @@ def q_scan_page_files(spark, sf_dir):
                   .alias("p"), "text")
      .write.partitionBy("doc", "p").text(base + "/files"))
     return TB.scan_page_files(spark, base + "/files", glob="*.txt", doc_pattern=r"/doc=([^/]+)/")
+
+
+# ------------------------------------------------------------------ pages -> items, end to end
+
+_PAGE_CONF = "CASE WHEN page_no % 2 = 0 THEN 0.75 ELSE 0.65 END"
+
+
+def _invoice_candidates(spark, sf_dir):
+    """Each line of a rendered invoice is an OCR page, read by two engines."""
+    inv = FX.render_invoices(spark, sf_dir)
+    pages = inv.select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.split("txt", "\n")).alias("pos", "text"))
+    pages = pages.select("doc_id", (F.col("pos") + 1).alias("page_no"), "text")
+    paddle = pages.select("doc_id", "page_no", F.lit("paddle_ocr").alias("method"), F.lit(2).alias("priority"),
+                          "text", F.expr(_PAGE_CONF).cast("double").alias("confidence"))
+    raw = pages.select("doc_id", "page_no", F.lit("tesseract_raw").alias("method"), F.lit(4).alias("priority"),
+                       "text", T.raw_text_confidence(F.col("text")).alias("confidence"))
+    return paddle.unionByName(raw)
+
+
+@register("document_line_items", "WITH " + O.cte_invoices() + f""",
+pg0 AS (SELECT o_orderkey AS doc_id, unnest(w) AS text, unnest(generate_series(1, len(w))) AS page_no
+        FROM (SELECT o_orderkey, string_split(txt, chr(10)) AS w FROM invoices)),
+pg AS (SELECT *, length(text) > 50 AND {_PAGE_CONF} > 0.7 AS paddle_ok, {O.clean_text('text')} AS clean FROM pg0),
+docs AS (SELECT doc_id, coalesce(string_agg(CASE WHEN clean <> '' THEN clean END,
+           chr(10) || chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10) ORDER BY page_no), '') AS text,
+           sum(CASE WHEN paddle_ok THEN 1 ELSE 0 END) AS paddle_pages, count(*) AS total_pages
+         FROM pg GROUP BY doc_id),
+{O.cte_candidate_lines('docs', ['doc_id'], 'text', True)},
+{O.cte_items('cand')},
+per_doc AS (SELECT doc_id, count(*) AS items, round(sum(total_amount), 2) AS total_amount,
+              sum(CASE WHEN escalation_flag THEN 1 ELSE 0 END) AS escalated FROM items GROUP BY doc_id)
+SELECT d.doc_id, d.total_pages, d.paddle_pages, coalesce(p.items, 0) AS items, p.total_amount,
+  coalesce(p.escalated, 0) AS escalated
+FROM docs d LEFT JOIN per_doc p USING (doc_id)""")
+def q_document_line_items(spark, sf_dir):
+    """OCR candidates -> chosen page text (O-26) -> cleaned pages (O-31) ->
+    document text (O-30) -> line items (O-52) -> per-document summary."""
+    from ..operators import extract as E
+    chosen = OC.select_ocr_candidate(_invoice_candidates(spark, sf_dir))
+    pages = chosen.select("doc_id", "page_no", T.clean_text("text").alias("text"),
+                          (F.col("method") == "paddle_ocr").alias("_paddle"))
+    docs = OC.concat_pages(pages, style="worker").join(
+        pages.groupBy("doc_id").agg(F.count_if("_paddle").alias("paddle_pages")), "doc_id")
+    items = E.extract_line_items(docs, ["doc_id"], text="text", clean=True)
+    per_doc = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"),
+                                          F.round(F.sum("total_amount"), 2).alias("total_amount"),
+                                          F.count_if("escalation_flag").alias("escalated"))
+    return (docs.join(per_doc, "doc_id", "left")
+            .select("doc_id", F.col("total_pages").cast("bigint"), F.col("paddle_pages").cast("bigint"),
+                    F.coalesce("items", F.lit(0)).cast("bigint").alias("items"), "total_amount",
+                    F.coalesce("escalated", F.lit(0)).cast("bigint").alias("escalated")))
