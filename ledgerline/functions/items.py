@@ -157,7 +157,12 @@ def extract_description(line: Column | str) -> Column:
     line = _c(line)
     single = F.when(description_ok(line), line)
     multi = F.get(F.filter(split_parts(line), description_ok), 0)
-    return F.when(line.rlike(X.PART_SPLIT), multi).otherwise(single)
+    return F.when(has_separator(line), multi).otherwise(single)
+
+
+def has_separator(line: Column) -> Column:
+    """Same as ``rlike('\\s{2,}|\\t')``: a tab, or two whitespace in a row."""
+    return line.contains("\t") | line.rlike(r"\s\s")
 
 
 # ---------------------------------------------------------------- amounts
@@ -226,11 +231,72 @@ def escalation_reasons(uom: Column, has_pack: Column, score: Column, description
                        threshold: float = X.ESCALATE_BELOW, missing_uom: bool = True) -> Column:
     """Ordered reasons (O-29); ``zero_pack_price`` marks D-1 rows."""
     no_uom = (uom.isNull() | (uom == "")) & ~has_pack
+    empty = F.array().cast("array<string>")
     reasons = [
-        F.when(no_uom, F.lit(X.MISSING_UOM)) if missing_uom else None,
-        F.when(score < threshold, F.lit(X.LOW_CONFIDENCE)),
-        F.when(description.isNull() | (description == ""), F.lit(X.LOW_CONFIDENCE)),
-        F.when((_nz(base_price) & (base_price <= 0)) | zero_pack_price, F.lit(X.INVALID_PRICE)),
-        F.when(has_pack & (pack_conf < X.AMBIGUOUS_PACK_BELOW), F.lit(X.AMBIGUOUS_PACK)),
+        (no_uom, X.MISSING_UOM) if missing_uom else None,
+        (score < threshold, X.LOW_CONFIDENCE),
+        (description.isNull() | (description == ""), X.LOW_CONFIDENCE),
+        ((_nz(base_price) & (base_price <= 0)) | zero_pack_price, X.INVALID_PRICE),
+        (has_pack & (pack_conf < X.AMBIGUOUS_PACK_BELOW), X.AMBIGUOUS_PACK),
     ]
-    return F.filter(F.array(*[r for r in reasons if r is not None]), lambda x: x.isNotNull())
+    # concatenation of 0/1-element arrays: ordered, codegen'd, no lambda
+    return F.concat(*[F.when(F.coalesce(c, F.lit(False)), F.array(F.lit(r))).otherwise(empty)
+                      for c, r in (x for x in reasons if x is not None)])
+
+
+# ---------------------------------------------------------------- staged chains
+
+def parse_amounts(arr: Column) -> Column:
+    return F.filter(F.transform(arr, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")),
+                    lambda x: x.isNotNull())
+
+
+def stage_line_matches(df, line: str = "raw_line"):
+    """Adds the per-line regex results as columns, one projection per
+    fallback step: a step's regex runs only when the earlier steps failed,
+    and each runs at most once per row (a column, not a repeated
+    expression).  Columns: ``_code``, ``_mpn1..3``, ``_pk1..4``, ``_cur``,
+    ``_num``."""
+    ln = F.col(line)
+    valid = lambda c: F.coalesce(F.regexp_extract(c, _VALID_MPN, 0) != "", F.lit(False))
+    # necessary conditions (byte scans) in front of three regexes: a line
+    # without a slash has no slash pack, one without a label word no labelled
+    # part number, one without a currency token no currency amount
+    low = F.lower(ln)
+    may_label = contains_any(low, ["mpn", "part", "p/n", "model"])
+    may_cur = contains_any(ln, ["₹", "INR", "Rs", "USD", "EUR", "GBP"])
+    empty = F.array().cast("array<double>")
+    df = df.select("*", tax_code(ln).alias("_code"),
+                   F.when(may_label, F.regexp_extract(ln, GUARDED[X.MPN_EXPLICIT], 1)).otherwise(F.lit("")).alias("_mpn1"),
+                   F.when(ln.contains("/"), F.regexp_extract(ln, X.PACK_SLASH, 0)).otherwise(F.lit("")).alias("_pk1"),
+                   F.when(may_cur, parse_amounts(F.regexp_extract_all(ln, F.lit(GUARDED[X.AMOUNT_CURRENCY]), F.lit(1))))
+                   .otherwise(empty).alias("_cur"))
+    df = df.select("*", F.when(~valid(F.col("_mpn1")), F.regexp_extract(ln, X.MPN_EMBEDDED, 1)).alias("_mpn2"),
+                   F.when(F.col("_pk1") == "", F.regexp_extract(ln, X.PACK_PREFIX, 0)).alias("_pk2"),
+                   F.when(F.size("_cur") == 0, F.filter(
+                       parse_amounts(F.regexp_extract_all(ln, F.lit(X.AMOUNT_NUMERIC), F.lit(1))),
+                       lambda x: (x >= X.AMOUNT_NUMERIC_MIN) & (x <= X.AMOUNT_NUMERIC_MAX))).alias("_num"))
+    no2 = F.coalesce(F.col("_pk2"), F.lit("")) == ""
+    df = df.select("*", F.when(~valid(F.col("_mpn1")) & ~valid(F.col("_mpn2")),
+                               F.regexp_extract(ln, X.MPN_ALNUM, 1)).alias("_mpn3"),
+                   F.when((F.col("_pk1") == "") & no2, F.regexp_extract(ln, X.PACK_SUFFIX, 0)).alias("_pk3"))
+    no3 = F.coalesce(F.col("_pk3"), F.lit("")) == ""
+    df = df.select("*", F.when((F.col("_pk1") == "") & no2 & no3,
+                               F.regexp_extract(ln, GUARDED[X.PACK_BARE], 0)).alias("_pk4"))
+    return df
+
+
+def mpn_from_stages() -> Column:
+    def ok(c):
+        return F.when(F.coalesce(F.regexp_extract(c, _VALID_MPN, 0) != "", F.lit(False)), c)
+    return F.coalesce(ok(F.col("_mpn1")), ok(F.col("_mpn2")), ok(F.col("_mpn3")))
+
+
+def pack_tag_from_stages() -> Column:
+    """The tagged match ``pack_from_match`` expects, from the staged steps."""
+    return F.coalesce(*[F.concat(F.lit(str(i)), F.when(F.col(f"_pk{i}") != "", F.col(f"_pk{i}")))
+                        for i in (1, 2, 3, 4)])
+
+
+def amounts_from_stages() -> Column:
+    return F.when(F.size("_cur") > 0, F.col("_cur")).otherwise(F.col("_num"))

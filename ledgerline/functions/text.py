@@ -104,8 +104,8 @@ def supplier_from_lines(lines: Column, header: Column | None = None) -> Column:
 
     legal = F.nullif(F.regexp_extract(header, X.SUPPLIER_LEGAL_LINE, 1), F.lit(""))
     return F.coalesce(
-        _labelled(header, X.SUPPLIER_LABELLED[0]),
-        _labelled(header, X.SUPPLIER_LABELLED[1]),
+        _labelled(header, X.SUPPLIER_LABELLED[0].replace("(?id)(?:", "(?id)(?=[svfb])(?:", 1)),
+        _labelled(header, X.SUPPLIER_LABELLED[1].replace("(?id)(?:", "(?id)(?=[cb])(?:", 1)),
         F.upper(strip(legal)),
         first_line(X.SUPPLIER_TIER3_LINES, _tier3_ok),
         first_line(X.SUPPLIER_TIER4_LINES, _tier4_ok),

@@ -65,20 +65,15 @@ def extract_from_lines(lines: DataFrame, line: str = "line", supplier: str = "su
         *keep, F.col(supplier).alias("supplier_name"), ln.alias("raw_line"),
         I.extract_description(ln).alias("item_description"),
     ).where(F.col("item_description").isNotNull())
-    raw = F.col("raw_line")
-    s2 = s1.select(
-        "*",
-        I.tax_code(raw).alias("_code"),
-        I.extract_mpn(raw).alias("manufacturer_part_number"),
-        I.pack_match(raw).alias("_pm"),
-        I.extract_amounts(raw).alias("_amounts"),
-    )
-    s3 = s2.select(
-        *[c for c in s2.columns if c not in ("_code", "_pm", "_amounts")],
+    staged = I.stage_line_matches(s1, "raw_line")
+    drop = {"_code", "_mpn1", "_mpn2", "_mpn3", "_pk1", "_pk2", "_pk3", "_pk4", "_cur", "_num"}
+    s3 = staged.select(
+        *[c for c in staged.columns if c not in drop],
         I.hsn_code(F.col("_code")).alias("hsn_code"),
         I.sac_code(F.col("_code")).alias("sac_code"),
-        I.pack_from_match(F.col("_pm")).alias("pack_info"),
-        I.assign_amounts(F.col("_amounts")).alias("_amt"),
+        I.mpn_from_stages().alias("manufacturer_part_number"),
+        I.pack_from_match(I.pack_tag_from_stages()).alias("pack_info"),
+        I.assign_amounts(I.amounts_from_stages()).alias("_amt"),
     )
     pack = F.col("pack_info")
     amt = F.col("_amt")
