@@ -37,7 +37,7 @@ def q_file_hash(spark, sf_dir):
 @register("unprocessed_files", "WITH " + O.cte_observations() + """,
 obs AS (SELECT o.event_id, concat('/in/', cast(e.user_id AS varchar), '/', cast(o.event_id AS varchar), '.pdf') AS path,
           md5(o.content) AS file_hash, e.event_type, e.value FROM observations o JOIN events e USING (event_id)),
-done AS (SELECT path, file_hash FROM obs WHERE event_type = 'error' AND value > 450)
+done AS (SELECT path, file_hash FROM obs WHERE event_type = 'error' AND value > 150)
 SELECT event_id, path, file_hash FROM obs
 WHERE path NOT IN (SELECT path FROM done) AND file_hash NOT IN (SELECT file_hash FROM done)""")
 def q_unprocessed_files(spark, sf_dir):
@@ -48,7 +48,7 @@ def q_unprocessed_files(spark, sf_dir):
     obs = _obs(spark, sf_dir).select("event_id", "file_hash").join(ev, "event_id").select(
         "event_id", F.format_string("/in/%d/%d.pdf", "user_id", "event_id").alias("file_path"), "file_hash",
         "event_type", "value")
-    state = obs.where((F.col("event_type") == "error") & (F.col("value") > 450)).select(
+    state = obs.where((F.col("event_type") == "error") & (F.col("value") > 150)).select(
         "file_path", "file_hash", F.lit(True).alias("processed"))
     out = S.unprocessed_files(obs.select("event_id", "file_path", "file_hash"), state)
     return out.select("event_id", F.col("file_path").alias("path"), "file_hash")
