@@ -251,3 +251,79 @@ def all_oracles() -> dict[str, str]:
 def _load_all() -> None:
     # the other families register themselves on import
     from . import catalog_resolve, catalog_jobs, catalog_ocr, catalog_stream  # noqa: F401
+
+
+# ------------------------------------------------------------------ named scalar operators
+
+@register("drop_undescribed", _sql_lines_items() + f"SELECT {_LKEYS} FROM items")
+def q_drop_undescribed(spark, sf_dir):
+    """Rendered lines that keep a description (O-12)."""
+    return line_level_items(spark, sf_dir).select(*_LKEY_COLS)
+
+
+@register("extract_tax_code", _sql_lines_items() + f"SELECT {_LKEYS}, hsn_code, sac_code FROM items")
+def q_extract_tax_code(spark, sf_dir):
+    lines = FX.render_lines(spark, sf_dir).where(I.extract_description(F.col("line")).isNotNull())
+    code = I.tax_code(F.col("line"))
+    return lines.select(*_LKEY_COLS, I.hsn_code(code).alias("hsn_code"), I.sac_code(code).alias("sac_code"))
+
+
+@register("assign_amounts", _sql_lines_items()
+          + f"SELECT {_LKEYS}, quantity, unit_price, total_amount, taxable_amount FROM items")
+def q_assign_amounts(spark, sf_dir):
+    return line_level_items(spark, sf_dir).select(*_LKEY_COLS, "quantity", "unit_price", "total_amount",
+                                                  "taxable_amount")
+
+
+@register("confidence_score", _sql_lines_items() + f"SELECT {_LKEYS}, confidence_score FROM items")
+def q_confidence_score(spark, sf_dir):
+    return line_level_items(spark, sf_dir).select(*_LKEY_COLS, "confidence_score")
+
+
+@register("escalation_reasons", _sql_lines_items()
+          + f"SELECT {_LKEYS}, escalation_reasons, escalation_flag FROM items")
+def q_escalation_reasons(spark, sf_dir):
+    return line_level_items(spark, sf_dir).select(
+        *_LKEY_COLS, F.array_join("escalation_reasons", ",").alias("escalation_reasons"), "escalation_flag")
+
+
+@register("project_item", _sql_items(True) + "SELECT o_orderkey, line_no, coalesce(escalation_reasons, '') AS "
+          "escalation_reasons, coalesce(canonical_base_uom, 'EA') AS canonical_base_uom FROM items")
+def q_project_item(spark, sf_dir):
+    from ..operators.jobs import project_item
+    p = project_item(invoice_items(spark, sf_dir))
+    return p.select("o_orderkey", "line_no", F.array_join("escalation_reasons", ",").alias("escalation_reasons"),
+                    "canonical_base_uom")
+
+
+_WORDS_SQL = O.with_(O.cte_lines(), """words AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(w) AS token, unnest(generate_series(0, len(w) - 1)) AS pos
+  FROM (SELECT *, string_split(line, ' ') AS w FROM rlines))""")
+
+
+def _words(spark, sf_dir):
+    lines = FX.render_lines(spark, sf_dir)
+    return lines.select(*_LKEY_COLS, F.posexplode(F.split("line", " ")).alias("pos", "token"))
+
+
+@register("normalize_uom", _WORDS_SQL + f"SELECT {_LKEYS}, pos, {O.norm_uom('token')} AS uom_code FROM words")
+def q_normalize_uom(spark, sf_dir):
+    """Every word of every rendered line through the unit dictionary (O-47)."""
+    return _words(spark, sf_dir).select(*_LKEY_COLS, "pos", I.normalize_uom("token").alias("uom_code"))
+
+
+@register("join_uom_alias", _WORDS_SQL + f"SELECT {_LKEYS}, pos, {O.norm_uom('token')} AS uom_code FROM words")
+def q_join_uom_alias(spark, sf_dir):
+    """Table form of O-16: words joined to the broadcast alias dimension."""
+    from ..operators.units import join_uom_alias
+    return join_uom_alias(_words(spark, sf_dir), "token").select(*_LKEY_COLS, "pos", "uom_code")
+
+
+@register("join_uom_multiplier", _WORDS_SQL + f"SELECT {_LKEYS}, pos, {O.norm_uom('token')} AS uom_code, "
+          f"{O.multiplier(O.norm_uom('token'))} AS multiplier FROM words")
+def q_join_uom_multiplier(spark, sf_dir):
+    """Table form of O-17: unit codes joined to the broadcast multiplier dimension."""
+    from ..operators.units import join_uom_alias, join_uom_multiplier
+    codes = join_uom_alias(_words(spark, sf_dir), "token")
+    return join_uom_multiplier(codes, "uom_code").select(*_LKEY_COLS, "pos", "uom_code",
+                                                         F.col("multiplier").cast("int"))
