@@ -123,9 +123,10 @@ def render_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     lines = render_lines(spark, sf_dir)
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    body = (joined.groupBy("o_orderkey", "o_custkey", "o_totalprice")
+    body = (joined.groupBy("o_orderkey")
             .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "line")))
-                 .alias("ls")))
+                 .alias("ls"), F.any_value("o_custkey").alias("o_custkey"),
+                 F.any_value("o_totalprice").alias("o_totalprice")))
     return body.select(
         "o_orderkey", "o_custkey",
         F.concat_ws("\n", F.expr(sql(HEADER_SQL)), F.lit(TABLE_HEAD),
