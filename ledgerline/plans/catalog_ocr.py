@@ -177,8 +177,7 @@ def q_document_line_items(spark, sf_dir):
     chosen = OC.select_ocr_candidate(_invoice_candidates(spark, sf_dir))
     pages = chosen.select("doc_id", "page_no", T.clean_text("text").alias("text"),
                           (F.col("method") == "paddle_ocr").alias("_paddle"))
-    docs = OC.concat_pages(pages, style="worker").join(
-        pages.groupBy("doc_id").agg(F.count_if("_paddle").alias("paddle_pages")), "doc_id")
+    docs = OC.concat_pages(pages, style="worker", extra=[F.count_if("_paddle").alias("paddle_pages")])
     items = E.extract_line_items(docs, ["doc_id"], text="text", clean=True)
     per_doc = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"),
                                           F.round(F.sum("total_amount"), 2).alias("total_amount"),
