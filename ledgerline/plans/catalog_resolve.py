@@ -272,7 +272,8 @@ def q_lookup_audit(spark, sf_dir):
 SELECT a.job_id, a.line_no, a.attempt_no, a.lookup_source, a.success, i.item_description, i.raw_line
 FROM aud a JOIN it i USING (job_id, line_no)""")
 def q_audit_join_items(spark, sf_dir):
-    resolved = _resolved(spark, sf_dir)
+    from ..sources.sinks import materialize
+    resolved = materialize(_resolved(spark, sf_dir), "resolved")   # feeds both sides of the join
     audit = R.lookup_audit(resolved).select("job_id", "line_no", "attempt_no", "lookup_source", "success")
     items = resolved.select("job_id", "line_no", "item_description", "raw_line")
     return R.audit_join_items(audit, items)

@@ -43,3 +43,14 @@ def sink_batch_summary(summary: DataFrame, path: str, mode: str = "overwrite") -
     """Batch summaries are one row per batch: written as a single JSON file
     (O-06)."""
     summary.coalesce(1).write.mode(mode).json(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the session's shared checkpoint folder
+    and return the table read back: cuts the lineage when one result feeds
+    several outputs (items and their audit rows), so it is computed once and
+    a lost executor re-reads files instead of recomputing the chain."""
+    from ..session import shared_dir
+    path = shared_dir(df.sparkSession, name) + "/t"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
