@@ -154,3 +154,19 @@ def q_file_state(spark, sf_dir):
     out = _run_extraction_stream(spark, sf_dir)
     st = S.current_file_state(spark.read.parquet(out + "/state"))
     return st.select("file_path", "file_hash", "processed", "job_id")
+
+
+@register("stream_files", None)
+def q_stream_files(spark, sf_dir):
+    """Binary-file stream (O-61 + O-59 + O-62): one file per user folder,
+    listed as it arrives, hashed and de-duplicated by content."""
+    base = shared_dir(spark, "fstream")
+    obs = FX.render_observations(spark, sf_dir).select(
+        F.regexp_extract("path", r"/in/(\d+)\.pdf", 1).alias("user"), "content")
+    obs.write.partitionBy("user").text(base + "/docs")
+    st = S.read_file_stream(spark, base + "/docs", glob="*.txt", max_files=50, recursive=True)
+    hashed = S.dedupe_stream(S.file_hash(st).select(F.col("path").alias("file_path"), "length", "file_hash"))
+    q = (hashed.writeStream.format("parquet").option("checkpointLocation", base + "/ck")
+         .trigger(availableNow=True).start(base + "/out"))
+    q.awaitTermination()
+    return spark.read.parquet(base + "/out")

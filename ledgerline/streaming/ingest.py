@@ -76,11 +76,13 @@ def stable_files(obs: DataFrame, timeout_s: int = X.FILE_READY_TIMEOUT_S, path:
 
 
 def read_file_stream(spark: SparkSession, path: str, glob: str = "*.{pdf,PDF}",
-                     max_files: int | None = None, since=None) -> DataFrame:
+                     max_files: int | None = None, since=None, recursive: bool = False) -> DataFrame:
     """Arriving documents as a stream (O-61).  The binary source needs its
     schema given; ``since`` (a timestamp) skips files that existed before,
     the "existing files off" option."""
     r = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob)
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     df = r.load(path)
