@@ -36,10 +36,11 @@ pg AS (SELECT doc_id, page_no,
          string_agg(CASE WHEN conf > 0.5 AND text <> '' THEN text END, chr(10) ORDER BY idx) AS txt,
          avg(CASE WHEN conf > 0.5 AND text <> '' THEN conf END) AS c
        FROM det GROUP BY ALL)
-SELECT doc_id, page_no, {O.clean_text('coalesce(txt, ' + "''" + ')')} AS text, coalesce(c, 0.0::DOUBLE) AS confidence FROM pg""")
+SELECT doc_id, page_no, {O.clean_text('coalesce(txt, ' + "''" + ')')} AS text, round(coalesce(c, 0.0::DOUBLE), 9) AS confidence FROM pg""")
 def q_assemble_detected_lines(spark, sf_dir):
+    """Mean of doubles: rounded, as summation order differs between engines."""
     d = OC.assemble_detected_lines(FX.render_detections(spark, sf_dir))
-    return d.withColumn("confidence", F.col("confidence"))
+    return d.withColumn("confidence", F.round("confidence", 9))
 
 
 @register("token_confidence_stats", "WITH " + O.cte_tokens() + """,
