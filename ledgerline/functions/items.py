@@ -3,10 +3,11 @@
 All are native Spark expressions (regexes, ``CaseWhen``, ``Coalesce``), so
 they run inside whole-stage codegen; nothing here calls Python per row.
 
-Each regular expression over the (long) line is evaluated at most once per
-row: fallback chains are written as ``coalesce(concat(tag, nullif(match,
-'')), ...)``, which stops at the first branch that matches, and the short
-match is then taken apart with cheap regexes.
+Each regular expression over the line is evaluated at most once per row:
+fallback chains are staged one projection per step (``stage_line_matches``),
+a step running only when the earlier ones failed, and a short match is then
+taken apart with cheap regexes.  The single-column helpers (``extract_pack``,
+``extract_mpn``, ...) give the same results for ad-hoc use.
 """
 
 from __future__ import annotations

@@ -53,6 +53,7 @@ DIRTY_SQL = ("replace(text, '. ', concat('.', chr(7), chr(9), '  ', chr(10), ' '
 
 # ---- OCR tokens: every word of every document ------------------------------------
 TOKEN_SQL = {
+    "page_no": "cast(floor(pos / 500) + 1 as int)",
     "block_num": "cast(floor(pos / 60) + 1 as int)",
     "line_num": "cast(cast(floor(pos / 5) as bigint) % 12 + 1 as int)",
     "lft": "cast((pos * 37) % 200 as int)",
@@ -145,12 +146,12 @@ def dirty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tokens(doc_id, page_no, token_idx, block_num, line_num, lft, conf, text)."""
+    """tokens(doc_id, token_idx, page_no, block_num, line_num, lft, conf, text):
+    every word of every document; 500 words to a page."""
     docs = wide(spark, sf_dir, "documents", ["doc_id", "text"])
     words = docs.select("doc_id", F.posexplode(F.split("text", " "))
                         .alias("pos", "text"))
-    return words.selectExpr("doc_id", "1 as page_no", "pos as token_idx",
-                            *[f"{e} as {k}" for k, e in TOKEN_SQL.items()], "text")
+    return words.selectExpr("doc_id", "pos as token_idx", *[f"{e} as {k}" for k, e in TOKEN_SQL.items()], "text")
 
 
 def render_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

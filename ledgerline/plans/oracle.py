@@ -64,7 +64,7 @@ def cte_tokens() -> str:
     return f"""tok0 AS (
   SELECT doc_id, unnest(w) AS text, unnest(generate_series(0, len(w) - 1)) AS pos
   FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)),
-tokens AS (SELECT doc_id, 1 AS page_no, pos AS token_idx, {cols}, text FROM tok0)"""
+tokens AS (SELECT doc_id, pos AS token_idx, {cols}, text FROM tok0)"""
 
 
 def cte_candidates() -> str:
