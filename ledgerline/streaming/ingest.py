@@ -60,16 +60,20 @@ def stable_files(obs: DataFrame, timeout_s: int = X.FILE_READY_TIMEOUT_S, path:
                  ts: str = "observed_at", size: str = "size", tiebreak: str = "event_id") -> DataFrame:
     """Per path: ready when two consecutive size observations agree and are
     non-zero within ``timeout_s`` of first sight, else timed out (O-33).
-    ``lag`` over the path's observations; the earliest qualifying one wins
-    (a ``min_by`` with partial aggregation)."""
+
+    Only observations inside the timeout can decide, and every earlier
+    observation of the path is inside it too, so ``lag`` runs on that
+    bounded window only: first sight and counts come from a partially
+    aggregated group-by, the rest of a busy path never reaches the window."""
+    first = obs.groupBy(path).agg(F.min(ts).alias("first_seen"), F.count(F.lit(1)).alias("observations"))
+    limit = F.col("first_seen") + F.make_dt_interval(secs=F.lit(timeout_s))
+    early = (obs.select(path, ts, size, tiebreak).join(first.select(path, "first_seen"), path)
+             .where(F.col(ts) <= limit))
     w = Window.partitionBy(path).orderBy(ts, tiebreak)
-    o = obs.select(path, ts, size, tiebreak, F.lag(size).over(w).alias("_prev"),
-                   F.min(ts).over(Window.partitionBy(path)).alias("first_seen"))
-    within = F.col(ts) <= F.col("first_seen") + F.make_dt_interval(secs=F.lit(timeout_s))
-    ok = (F.col(size) == F.col("_prev")) & (F.col(size) > 0) & within
-    g = o.groupBy(path, "first_seen").agg(
-        F.min_by(F.struct(ts, size), F.when(ok, F.struct(ts, tiebreak))).alias("_r"),
-        F.count(F.lit(1)).alias("observations"))
+    o = early.select(path, ts, size, tiebreak, F.lag(size).over(w).alias("_prev"))
+    ok = (F.col(size) == F.col("_prev")) & (F.col(size) > 0)
+    ready = o.groupBy(path).agg(F.min_by(F.struct(ts, size), F.when(ok, F.struct(ts, tiebreak))).alias("_r"))
+    g = first.join(ready, path, "left")
     return g.select(path, "first_seen", F.col(f"_r.{ts}").alias("ready_at"), F.col(f"_r.{size}").alias("ready_size"),
                     F.when(F.col("_r").isNotNull(), F.lit("ready")).otherwise(F.lit("timeout")).alias("status"),
                     "observations")
