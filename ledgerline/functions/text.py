@@ -127,18 +127,12 @@ def _count_newlines(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
 
 
-def _first_pos(text: Column, words: list[str]) -> Column:
-    """1-based character position of the earliest occurrence of any word, or null."""
-    return F.least(*[F.nullif(F.instr(text, w), F.lit(0)) for w in words])
-
-
 def footer_region(lowered: Column) -> Column:
     """Lower-cased text up to the end of the first line holding a footer
-    word, '' when there is none.  ``instr`` works in characters, as
-    ``substring`` does."""
-    pos = _first_pos(lowered, X.TABLE_FOOTER_WORDS)
-    line_end = F.substring_index(F.substring(lowered, pos, 1 << 30), "\n", 1)
-    return F.when(pos.isNotNull(), F.concat(F.substring(lowered, 1, pos - 1), line_end)).otherwise(F.lit(""))
+    word, '' when there is none (one lazy scan; the lookahead rejects most
+    positions before the alternation is tried)."""
+    words = _alt(X.TABLE_FOOTER_WORDS)
+    return F.regexp_extract(lowered, r"(?s)^(.*?(?=[sctgi])(?:%s)[^\n]*)" % words, 1)
 
 
 def table_end(lowered: Column, region: Column) -> Column:
@@ -148,13 +142,10 @@ def table_end(lowered: Column, region: Column) -> Column:
 
 def table_start(lowered: Column, region: Column) -> Column:
     """1 + the last line at or before the footer line holding a header
-    word, else 0 (O-41).  The last occurrence is the first one in the
-    reversed text."""
+    word, else 0 (O-41): the greedy prefix ends at the last header word."""
     scope = F.when(region != "", region).otherwise(lowered)
-    rev = F.reverse(scope)
-    rpos = _first_pos(rev, [w[::-1] for w in X.TABLE_HEADER_WORDS])
-    after = _count_newlines(F.substring(rev, 1, rpos - 1))
-    return F.when(rpos.isNotNull(), _count_newlines(scope) - after + 1).otherwise(F.lit(0))
+    upto = F.regexp_extract(scope, r"(?s)^(.*(?=[sidpr])(?:%s))" % _alt(X.TABLE_HEADER_WORDS), 1)
+    return F.when(upto != "", _count_newlines(upto) + 1).otherwise(F.lit(0))
 
 
 def table_bounds(text: Column) -> Column:
