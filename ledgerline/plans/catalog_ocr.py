@@ -130,9 +130,8 @@ def q_scan_page_files(spark, sf_dir):
     """Page text files, one folder per document (O-02, text source): the
     paged documents written as text files and read back with ``wholetext``."""
     base = shared_dir(spark, "pagefiles")
-    pages = FX.render_pages(spark, sf_dir).where(F.col("text") != "")
-
-
+    pages = FX.render_pages(spark, sf_dir).where(F.col("text") != "")   # blank pages leave no file
+    # layout: <base>/files/doc=<id>/p=<page>/part-*.txt, one file per page
     (pages.select(F.col("doc_id").cast("string").alias("doc"), F.lpad(F.col("page_no").cast("string"), 6, "0")
                   .alias("p"), "text")
      .write.partitionBy("doc", "p").text(base + "/files"))
