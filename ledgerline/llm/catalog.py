@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import url_filters
+from . import quality_rules, url_filters
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op7_url_filters": url_filters.op7_url_filters,
 }
 
 ORACLES = {
+    "op2_quality_rules": quality_rules.SQL,
     "op7_url_filters": url_filters.SQL,
 }
