@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filters
+from . import chat_format, quality_rules, url_filters
 
 QUERIES = {
+    "op8_chat_format": chat_format.op8_chat_format,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op7_url_filters": url_filters.op7_url_filters,
 }
 
 ORACLES = {
+    "op8_chat_format": chat_format.SQL,
     "op2_quality_rules": quality_rules.SQL,
     "op7_url_filters": url_filters.SQL,
 }

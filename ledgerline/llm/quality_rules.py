@@ -59,7 +59,7 @@ RULES = [
     Rule("many_symbols", "n_symbols", ">", 200, "n_words"),
     Rule("many_shouts", "n_shouts", ">", 300, "n_words"),
     Rule("few_stop_words", "n_stop_words", "<", 60, "n_words"),
-    Rule("duplicate_lines", "n_dup_lines", ">", 300, "n_lines"),
+    Rule("duplicate_lines", "n_dup_lines", ">", 500, "n_lines"),
     Rule("long_words", "word_chars", ">", 14_000, "n_words"),
     Rule("short_words", "word_chars", "<", 2_000, "n_words"),
 ]
