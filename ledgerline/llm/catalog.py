@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, url_filters
+from . import chat_format, quality_rules, sentence_pieces, token_counts, url_filters
 
 QUERIES = {
+    "op1_sentence_pieces": sentence_pieces.op1_sentence_pieces,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op8_chat_format": chat_format.op8_chat_format,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op7_url_filters": url_filters.op7_url_filters,

@@ -57,3 +57,35 @@ def tokenizer_path(name: str) -> str:
         return os.path.join(folder, name)
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+class WordCache(dict):
+    """word -> ``compute(word)``, with a bound on what it holds: a full cache
+    becomes the old generation, from which words that come again move over.
+    Words longer than ``longest`` are never kept."""
+
+    def __init__(self, compute, size: int = 200_000, longest: int = 64):
+        super().__init__()
+        self.compute, self.size, self.longest, self.old = compute, size, longest, {}
+
+    def __missing__(self, word):
+        if len(word) > self.longest:
+            return self.compute(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.compute(word)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
+        return value
+
+
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded in rows and bytes, so that long
+    texts don't pile up in one batch."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df.mapInArrow(function, schema)
