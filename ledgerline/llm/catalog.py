@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, sentence_pieces, token_counts, url_filters
+from . import chat_format, decontaminate, quality_rules, sentence_pieces, token_counts, url_filters
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op1_sentence_pieces": sentence_pieces.op1_sentence_pieces,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_chat_format": chat_format.op8_chat_format,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_decontaminate": decontaminate.SQL,
     "op8_chat_format": chat_format.SQL,
     "op2_quality_rules": quality_rules.SQL,
     "op7_url_filters": url_filters.SQL,
