@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import WordCache, map_batches, stored, table
 
 SAMPLE, FEATURES, THRESHOLD = 20_000, 5_000, 0.7
-LEAST_ROWS, LEAST_Z = 3, 2.5
-RIDGE, FAIRNESS, STEPS = 1e-4, 1.0, 300
+LEAST_ROWS, LEAST_Z = 3, 4.0
+RIDGE, FAIRNESS, STEPS = 1e-5, 1.0, 300
 PREFIXES = (3, 4, 5)
 
 #: Terms that name groups of people, by kind; any one may stand for another.
@@ -133,11 +133,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: in
         return Model(prior)
     counts = made.select("toxic", F.explode("own").alias("f")).groupBy("f").agg(
         F.sum("toxic").alias("a"), F.count("*").alias("k"))
-    # log odds of the feature among toxic and other rows, in standard errors
-    a, b = F.col("a") + 0.1, F.col("k") - F.col("a") + 0.1
-    odds = F.log(a / (bad - F.col("a") + 0.1)) - F.log(b / (n - bad - F.col("k") + F.col("a") + 0.1))
+    # how far the feature's toxic rows are from their expected number, in standard deviations
+    expected = F.col("k") * (bad / n)
+    spread = F.sqrt(expected * (1 - bad / n) * (1 - F.col("k") / n) + 1e-9)
     best = (counts.where(F.col("k") >= LEAST_ROWS)
-            .withColumn("z", odds / F.sqrt(1 / a + 1 / b)).where(F.abs("z") >= LEAST_Z)
+            .withColumn("z", (F.col("a") - expected) / spread).where(F.abs("z") >= LEAST_Z)
             .orderBy(F.abs("z").desc(), "f").limit(n_features))
     chosen = sorted(r["f"] for r in best.select("f").collect())
     if not chosen:
@@ -165,7 +165,7 @@ def descend(own, other, toxic: np.ndarray, n_features: int, prior: float, fairne
     """Weights that minimise mean log loss + ridge + ``fairness`` times the
     mean squared score change under swapped group terms (Adam, whole batch)."""
     def matrix(lists):
-        size = np.array([len(x) if x is not None else 0 for x in lists])
+        size = np.array([len(x) if x is not None else 0 for x in lists], int)
         cols = np.concatenate([np.asarray(x, int) for x in lists if x is not None and len(x)] or [np.zeros(0, int)])
         return np.repeat(np.arange(len(lists)), size), cols
 
