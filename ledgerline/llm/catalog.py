@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, quality_rules, sentence_pieces, token_counts, toxicity, url_filters
+from . import chat_format, decontaminate, personal_data, quality_rules, sentence_pieces, token_counts, toxicity, url_filters
 
 QUERIES = {
+    "op10_personal_data": personal_data.op10_personal_data,
     "op9_toxicity": toxicity.op9_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op1_sentence_pieces": sentence_pieces.op1_sentence_pieces,
