@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, ngram_join, personal_data, quality_rules, sentence_pieces, token_counts, toxicity, url_filters
+from . import chat_format, decontaminate, lm_scoring, ngram_join, personal_data, quality_rules, sentence_pieces, token_counts, toxicity, url_filters
 
 QUERIES = {
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op10_personal_data": personal_data.op10_personal_data,
     "op9_toxicity": toxicity.op9_toxicity,
