@@ -147,6 +147,7 @@ DEFAULT_RULES = [
 MSG_NO_TERMS = "No suitable search terms found"
 MSG_NO_RULE = "No matching patterns in product database"
 MSG_ALL_FAILED = "All lookup methods failed or unavailable"
+MSG_ALL_FAILED_REASON = "Could not resolve UOM through available methods"
 MSG_KEEP = "Already has high-confidence UOM information"
 MSG_BAD_UOM = "LLM answer has an invalid uom"
 MSG_NO_ANSWER = "No structured response from LLM"

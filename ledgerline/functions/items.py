@@ -91,7 +91,7 @@ def pack_from_match(tagged: Column | str) -> Column:
     """struct<quantity bigint, unit string, confidence double, source string> or null (O-46)."""
     t = _c(tagged)
     tag = F.substring(t, 1, 1)
-    m = F.substring(t, 2, 1 << 20)
+    m = F.substr(t, F.lit(2))
     lead_digits = F.regexp_extract(m, r"^\d+", 0)
     tail_digits = F.regexp_extract(m, r"\d+$", 0)
     lead_alpha = F.regexp_extract(m, r"^[A-Za-z]+", 0)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
+from ..functions.items import strip
 
 OPTIONS_SCHEMA = "enable_agentic_lookup boolean, supplier_name string, batch_id string"
 
@@ -89,22 +90,33 @@ def job_with_items(jobs: DataFrame, items: DataFrame, include_items: bool = True
                                        lambda s: s["line_no"].isNotNull())).alias("line_items")))
 
 
+def one_per_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key: the least by its other columns in their order (nulls
+    first).  A partial aggregate, so copies of a key never meet in a task."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def upsert_jobs(base: DataFrame, updates: DataFrame, key: str = "job_id") -> DataFrame:
-    """Overwrite the columns present in ``updates`` for matching keys,
-    keeping base values where the update is null; keys only in ``updates``
-    are skipped, as an update of a missing job is (O-07).  New jobs are
-    added with ``insert_jobs``.  Parquet has no MERGE: write the result to a
-    new folder or partition."""
+    """Assign the columns present in ``updates`` for matching keys, nulls
+    included, so a value can be cleared (O-07).  Of several updates of a key
+    the least counts (``one_per_key``); keys only in ``updates`` are skipped,
+    as an update of a missing job is.  New jobs are added with
+    ``insert_jobs``.  Parquet has no MERGE: write the result to a new folder
+    or partition."""
     upd_cols = [c for c in updates.columns if c != key]
-    u = updates.select(key, *[F.col(c).alias(f"_u_{c}") for c in upd_cols])
+    u = one_per_key(updates, [key]).select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_u_{c}") for c in upd_cols])
     j = base.join(u, key, "left")
-    return j.select(*[F.coalesce(F.col(f"_u_{c}"), F.col(c)).alias(c) if c in upd_cols else F.col(c)
+    return j.select(*[F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in upd_cols else F.col(c)
                       for c in base.columns])
 
 
 def insert_jobs(base: DataFrame, new: DataFrame, key: str = "job_id") -> DataFrame:
-    """Append jobs whose key is not yet present (``job_id`` stays unique)."""
-    return base.unionByName(new.join(base.select(key), key, "left_anti"), allowMissingColumns=True)
+    """Append jobs whose key is not yet present; of several new ones with a
+    key, the least (``job_id`` stays unique)."""
+    return base.unionByName(one_per_key(new, [key]).join(base.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
 def job_result_rows(docs: DataFrame, items: DataFrame, key: str = "job_id", text: str = "text") -> DataFrame:
@@ -113,7 +125,7 @@ def job_result_rows(docs: DataFrame, items: DataFrame, key: str = "job_id", text
     items, joined back on the key (left, so failed documents remain)."""
     counts = items.groupBy(key).agg(F.count(F.lit(1)).alias("total_line_items"),
                                     F.count_if("escalation_flag").alias("escalation_count"))
-    blank = F.coalesce(F.trim(F.col(text)), F.lit("")) == ""
+    blank = F.coalesce(strip(F.col(text)), F.lit("")) == ""
     d = docs.select(key, blank.alias("_blank"))
     return (d.join(counts, key, "left").select(
         key,

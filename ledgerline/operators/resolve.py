@@ -1,12 +1,13 @@
 """Unit resolution for items without a reliable pack (O-13, O-18, O-21,
 O-37, O-53..O-58).
 
-Plan shape: a narrow projection over the item table.  The keyword
-catalogue is a bounded dimension inlined as one ``CASE`` (no join); model
-answers are a table joined on ``(job_id, line_no)`` — Spark/AQE broadcasts
-it when its runtime size is under the broadcast threshold and sort-merges
-otherwise.  Each lookup attempt is kept in the ``lookup_attempts`` column,
-so the audit table (O-37) is an explode of the already-resolved rows.
+Plan shape: a narrow projection over the item table.  A keyword catalogue
+of up to ``MAX_INLINE_KEYWORDS`` words is inlined as one ``CASE``; a larger
+one is joined, with the same result.  With model answers, the items are
+stored once: those that still need an answer (a few per cent) are joined to
+the answers on ``(job_id, line_no)``, the others pass by without an
+exchange.  Each lookup attempt is kept in the ``lookup_attempts`` column, so
+the audit table (O-37) is an explode of the already-resolved rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import lookup as LK
+from ..sources.sinks import materialize
 from .metrics import observed
 
 MAX_INLINE_KEYWORDS = 2000
@@ -42,21 +44,37 @@ def attempted(mode: str = "worker") -> Column:
     return F.coalesce(needs_lookup(mode), F.lit(False)) & ~trusted
 
 
-def rules_from_df(rules) -> list[tuple]:
+RULE_FIELDS = ["priority", "uom", "pack_quantity", "confidence", "reasoning", "tag"]
+RULE_SCHEMA = ("priority int, keywords array<string>, uom string, pack_quantity int, confidence double, "
+               "reasoning string, tag string")
+
+
+def inline_rules(rules) -> list[tuple] | None:
     """Catalogue rows (priority, keywords, uom, pack_quantity, confidence,
-    reasoning, tag) -> list, after checking it is small enough to inline."""
-    if isinstance(rules, list):
-        return rules
-    n = rules.select(F.sum(F.size("keywords"))).first()[0] or 0
-    if n > MAX_INLINE_KEYWORDS:
-        raise ValueError(f"catalogue has {n} keywords; use catalog_match_join for large catalogues")
-    return [tuple(r) for r in rules.select("priority", "keywords", "uom", "pack_quantity", "confidence",
-                                           "reasoning", "tag").collect()]
-
-
-def catalog_match(items: DataFrame, rules=None, description: str = "item_description") -> DataFrame:
-    """Adds ``catalog_result`` (lookup-result struct) and ``catalog_tag`` (O-18)."""
-    rl = rules_from_df(rules if rules is not None else X.DEFAULT_RULES)
+    reasoning, tag) as a list, or None if they have too many keywords to be
+    inlined.  Rules of equal priority rank by their other fields, as in the
+    join."""
+    if not isinstance(rules, list):
+        n = rules.select(F.sum(F.size("keywords"))).first()[0] or 0
+        if n > MAX_INLINE_KEYWORDS:
+            return None
+        rules = [tuple(r) for r in rules.select("priority", "keywords", *RULE_FIELDS[1:]).collect()]
+    rules = [(r[0], [w for w in r[1] if w], *r[2:]) for r in rules if any(r[1])]
+    if sum(len(r[1]) for r in rules) > MAX_INLINE_KEYWORDS:
+        return None
+    null_first = lambda x: (x is not None, x if x is not None else 0)
+    return sorted(rules, key=lambda r: [null_first(r[0]), *map(null_first, r[2:])])
+
+
+def catalog_match(items: DataFrame, rules=None, description: str = "item_description",
+                  keys: list[str] | None = None) -> DataFrame:
+    """Adds ``catalog_result`` (lookup-result struct) and ``catalog_tag``
+    (O-18), inlined or joined by the catalogue's size."""
+    rules = rules if rules is not None else X.DEFAULT_RULES
+    rl = inline_rules(rules)
+    if rl is None:
+        table = items.sparkSession.createDataFrame(rules, RULE_SCHEMA) if isinstance(rules, list) else rules
+        return catalog_match_join(items, table, keys or ["job_id", "line_no"], description)
     d = F.col(description)
     return items.select("*", LK.rules_case(d, rl).alias("catalog_result"),
                         LK.rule_tag_case(d, rl).alias("catalog_tag"))
@@ -64,30 +82,30 @@ def catalog_match(items: DataFrame, rules=None, description: str = "item_descrip
 
 def catalog_match_join(items: DataFrame, rules: DataFrame, keys: list[str],
                        description: str = "item_description") -> DataFrame:
-    """Same answer as ``catalog_match`` for catalogues too large to inline:
-    an exact substring test as an equi-join.  Every description emits its
-    substrings of each keyword length present in the catalogue; these are
-    equi-joined to the keywords, and the lowest priority wins per item
-    (partial aggregation before the shuffle).  No pairs are enumerated."""
-    kw = rules.select("priority", F.explode("keywords").alias("kw")).select(
-        "priority", F.lower("kw").alias("kw")).where(F.length("kw") > 0)
-    lengths = [r[0] for r in kw.select(F.length("kw")).distinct().collect()]  # bounded: distinct lengths
+    """Same answer as the inlined catalogue for catalogues of any size: an
+    exact substring test as an equi-join.  Each distinct description emits
+    its substrings of each keyword length in the catalogue; these are
+    equi-joined to the keywords, and the least rule wins per description
+    (partial aggregation before the shuffle).  No pairs are enumerated, and
+    repeated descriptions are matched once.  ``keys`` is kept for callers;
+    items join back on their description."""
+    rule = F.struct(*RULE_FIELDS)
+    kw = rules.select(F.explode("keywords").alias("kw"), rule.alias("rule")).select(
+        F.lower("kw").alias("kw"), "rule").where(F.length("kw") > 0).groupBy("kw").agg(F.min("rule").alias("rule"))
+    lengths = sorted(r[0] for r in kw.select(F.length("kw")).distinct().collect())  # bounded: distinct lengths
     d = F.lower(F.coalesce(F.col(description), F.lit("")))
-    grams = items.select(*keys, d.alias("_d")).select(
-        *keys, F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_n"), "_d")
-    starts = F.when(F.length("_d") >= F.col("_n"), F.sequence(F.lit(1), F.length("_d") - F.col("_n") + 1))
-    grams = grams.select(*keys, "_n", F.explode(starts).alias("_i"), "_d") if lengths else grams.limit(0)
-    grams = grams.select(*keys, F.substring("_d", F.col("_i"), F.col("_n")).alias("kw"))
-    best = (grams.join(kw, "kw").groupBy(*keys).agg(F.min("priority").alias("_prio")))
-    rule_cols = rules.select(F.col("priority").alias("_prio"), "uom", "pack_quantity", "confidence",
-                             "reasoning", F.col("tag").alias("catalog_tag"))
-    hit = best.join(rule_cols, "_prio")
-    res = F.when(F.col("_prio").isNotNull(),
-                 LK.result(True, F.col("uom"), F.col("pack_quantity").cast("bigint"),
-                           F.col("confidence").cast("double"), X.SOURCE_ONLINE, F.col("reasoning"))
+    grams = items.select(d.alias("_d")).distinct()
+    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("_d"))
+    grams = grams.select("_d", F.explode(sizes).alias("_n"))
+    grams = grams.select("_d", "_n", F.explode(F.sequence(F.lit(1), F.length("_d") - F.col("_n") + 1)).alias("_i"))
+    grams = grams.select("_d", F.substring("_d", F.col("_i"), F.col("_n")).alias("kw")).distinct()
+    hit = grams.join(kw, "kw").groupBy("_d").agg(F.min("rule").alias("_rule"))
+    r = F.col("_rule")
+    res = F.when(r.isNotNull(), LK.result(True, r["uom"], r["pack_quantity"].cast("bigint"),
+                                          r["confidence"].cast("double"), X.SOURCE_ONLINE, r["reasoning"])
                  ).otherwise(LK.result(False, conf=0.0, source=X.SOURCE_ONLINE, error=X.MSG_NO_RULE))
-    return (items.join(hit, keys, "left")
-            .select(*items.columns, res.alias("catalog_result"), "catalog_tag"))
+    return (items.withColumn("_d", d).join(hit, "_d", "left")
+            .select(*items.columns, res.alias("catalog_result"), r["tag"].alias("catalog_tag")))
 
 
 def resolve_uom(items: DataFrame, keys: list[str] | None = None, rules=None,
@@ -100,31 +118,44 @@ def resolve_uom(items: DataFrame, keys: list[str] | None = None, rules=None,
     per attempt, for ``lookup_audit``); updates ``pack_info``,
     ``original_uom``, ``detected_pack_quantity``, ``price_per_base_unit``,
     ``escalation_reasons`` and ``escalation_flag`` as the rule says (score
-    and earlier reasons are left as they were)."""
+    and earlier reasons are left as they were).  ``enabled`` is a condition
+    on the item's row (its job's option).  Of several answers to an item the
+    least counts."""
     keys = keys or ["job_id", "line_no"]
     base_cols = items.columns
     df = items
     use_llm = llm and answers is not None
-    if use_llm:
-        df = df.join(answers.select(*keys, F.col("answer").alias("_answer")), keys, "left")
     gate = attempted(mode)
     if enabled is not None:
         gate = gate & F.coalesce(enabled, F.lit(False))
     terms = LK.search_terms(F.col("manufacturer_part_number"), F.col("item_description"),
                             F.col("hsn_code"), F.col("sac_code"))
-    rl = rules_from_df(rules if rules is not None else X.DEFAULT_RULES)
     s1 = df.select("*", gate.alias("_try"), terms.alias("_terms"))
+    rl = inline_rules(rules if rules is not None else X.DEFAULT_RULES)
+    if rl is None:
+        s1 = catalog_match(s1, rules, keys=keys).withColumnRenamed("catalog_result", "_by_rule").drop("catalog_tag")
+    by_rule = F.col("_by_rule") if rl is None else LK.rules_case(F.col("item_description"), rl)
     no_terms = LK.result(False, conf=0.0, source=X.SOURCE_ONLINE, error=X.MSG_NO_TERMS)
     online_res = (F.when(F.col("_try") & F.lit(online),
                          F.when(F.size("_terms") == 0, no_terms)
-                         .otherwise(LK.rules_case(F.col("item_description"), rl))))
+                         .otherwise(by_rule)))
     s2 = s1.select("*", online_res.alias("_online"))
+    if rl is None:
+        s2 = s2.drop("_by_rule")
     online_ok = F.coalesce(F.col("_online.success") & (F.col("_online.confidence") > X.CATALOG_ACCEPT_ABOVE),
                            F.lit(False))
-    llm_res = (F.when(F.col("_try") & ~online_ok, LK.validate_answer(F.col("_answer")))
-               if use_llm else F.lit(None).cast(s2.schema["_online"].dataType))
-    s3 = s2.select("*", online_ok.alias("_online_ok"), llm_res.alias("_llm"))
-    fail = LK.result(False, conf=0.0, error=X.MSG_ALL_FAILED)
+    s3 = s2.select("*", online_ok.alias("_online_ok"))
+    none = F.lit(None).cast(s2.schema["_online"].dataType)
+    if use_llm:
+        s3 = materialize(s3, "resolve")
+        asked = F.col("_try") & ~F.col("_online_ok")
+        one = answers.groupBy(*keys).agg(F.min("answer").alias("_answer"))
+        needing = s3.where(asked).join(one, keys, "left").select("*", LK.validate_answer(F.col("_answer")).alias("_llm"))
+        others = s3.where(~asked).select("*", F.lit(None).cast("string").alias("_answer"), none.alias("_llm"))
+        s3 = needing.unionByName(others)
+    else:
+        s3 = s3.select("*", none.alias("_llm"))
+    fail = LK.result(False, conf=0.0, error=X.MSG_ALL_FAILED, reasoning=X.MSG_ALL_FAILED_REASON)
     final = (F.when(F.col("_online_ok"), F.col("_online"))
              .when(F.coalesce(F.col("_llm.success"), F.lit(False)), F.col("_llm"))
              .otherwise(fail))

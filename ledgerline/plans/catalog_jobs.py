@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
 from ..operators import jobs as J
 from ..session import shared_dir
 from ..sources import sinks as SK
@@ -22,15 +23,19 @@ _OPTS = ("coalesce(json_extract(options, '$.enable_agentic_lookup')::BOOLEAN, {d
          "json_extract_string(options, '$.supplier_name') AS option_supplier_name, "
          "json_extract_string(options, '$.batch_id') AS batch_id")
 
-_RESULTS = _JOB_ITEMS.rstrip() + """,
-inv_docs AS (SELECT j.job_id, i.txt FROM jobs j LEFT JOIN invoices i ON j.o_orderkey = i.o_orderkey),
+#: Some documents hold white space alone.
+_TEXT = "CASE WHEN {key} % 50 = 7 THEN concat(chr(10), ' ', chr(9), chr(10)) ELSE {text} END"
+_BLANK = f"coalesce({O.strip('d.txt')}, '') = ''"
+
+_RESULTS = _JOB_ITEMS.rstrip() + f""",
+inv_docs AS (SELECT j.job_id, {_TEXT.format(key='j.o_orderkey', text='i.txt')} AS txt FROM jobs j LEFT JOIN invoices i ON j.o_orderkey = i.o_orderkey),
 cnt AS (SELECT job_id, count(*) AS n, sum(CASE WHEN escalation_flag THEN 1 ELSE 0 END) AS e FROM it GROUP BY job_id),
 results AS (
   SELECT d.job_id,
-    CASE WHEN coalesce(trim(d.txt), '') = '' THEN 'failed' ELSE 'completed' END AS status,
-    CASE WHEN coalesce(trim(d.txt), '') = '' THEN 'No text extracted from PDF' END AS error_message,
-    CASE WHEN coalesce(trim(d.txt), '') = '' THEN 0 ELSE coalesce(c.n, 0) END AS total_line_items,
-    CASE WHEN coalesce(trim(d.txt), '') = '' THEN 0 ELSE coalesce(c.e, 0) END AS escalation_count
+    CASE WHEN {_BLANK} THEN 'failed' ELSE 'completed' END AS status,
+    CASE WHEN {_BLANK} THEN {O.q(X.MSG_NO_TEXT)} END AS error_message,
+    CASE WHEN {_BLANK} THEN 0 ELSE coalesce(c.n, 0) END AS total_line_items,
+    CASE WHEN {_BLANK} THEN 0 ELSE coalesce(c.e, 0) END AS escalation_count
   FROM inv_docs d LEFT JOIN cnt c USING (job_id))
 """
 
@@ -42,7 +47,8 @@ def _jobs(spark, sf_dir):
 def _results(spark, sf_dir):
     jobs = _jobs(spark, sf_dir)
     inv = FX.render_invoices(spark, sf_dir)
-    docs = jobs.join(inv.select("o_orderkey", "txt"), "o_orderkey", "left").select("job_id", F.col("txt").alias("text"))
+    docs = jobs.join(inv.select("o_orderkey", "txt"), "o_orderkey", "left").select(
+        "job_id", F.expr(_TEXT.format(key="o_orderkey", text="txt")).alias("text"))
     return J.job_result_rows(docs, line_items_table(spark, sf_dir))
 
 
@@ -176,13 +182,14 @@ def q_upsert_jobs(spark, sf_dir):
                       F.col("escalation_count").cast("bigint"), "error_message")
 
 
-@register("sink_line_items", None)
+@register("sink_line_items", _JOB_ITEMS + "SELECT job_id, line_no, escalation_flag, confidence_score FROM it")
 def q_sink_line_items(spark, sf_dir):
     """Write the item table as partitioned Parquet and read it back."""
     path = shared_dir(spark, "items") + "/t"
     items = line_items_table(spark, sf_dir)
     SK.sink_line_items(items, path)
-    return spark.read.parquet(path).select("job_id", "line_no", "escalation_flag", "confidence_score")
+    return spark.read.parquet(path).select("job_id", "line_no", F.col("escalation_flag").cast("boolean").alias("escalation_flag"),
+                                           "confidence_score")
 
 
 @register("sink_json_documents", _JOB_ITEMS + """
@@ -202,9 +209,35 @@ def q_sink_json_documents(spark, sf_dir):
                        F.array_min(F.transform(li, lambda x: x["line_no"])).alias("first_line_no"))
 
 
-@register("sink_batch_summary", None)
+_BATCHED = _RESULTS.rstrip() + f""",
+opts AS (SELECT job_id, json_extract_string(options, '$.batch_id') AS batch_id FROM jobs),
+batched AS (SELECT r.*, o.batch_id FROM results r JOIN opts o USING (job_id))
+"""
+
+
+def _batched(spark, sf_dir):
+    return _results(spark, sf_dir).join(J.json_options(_jobs(spark, sf_dir)).select("job_id", "batch_id"), "job_id")
+
+
+@register("sink_batch_summary", _BATCHED + """
+SELECT batch_id, count(*) AS total_files, sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END)::BIGINT AS successful_files,
+  sum(CASE WHEN status = 'completed' THEN 0 ELSE 1 END)::BIGINT AS failed_files,
+  sum(CASE WHEN status = 'completed' THEN total_line_items ELSE 0 END)::BIGINT AS total_line_items
+FROM batched GROUP BY batch_id""")
 def q_sink_batch_summary(spark, sf_dir):
     path = shared_dir(spark, "batch") + "/t"
-    res = _results(spark, sf_dir).join(J.json_options(_jobs(spark, sf_dir)).select("job_id", "batch_id"), "job_id")
-    SK.sink_batch_summary(J.batch_summary(res, ["batch_id"]), path)
-    return spark.read.json(path)
+    SK.sink_batch_summary(J.batch_summary(_batched(spark, sf_dir), ["batch_id"]), path)
+    back = spark.read.schema("batch_id string, total_files bigint, successful_files bigint, failed_files bigint, "
+                             "total_line_items bigint").json(path)
+    return back.select("batch_id", "total_files", "successful_files", "failed_files", "total_line_items")
+
+
+@register("sink_batch_details", _BATCHED + """
+SELECT batch_id, job_id, status, total_line_items::BIGINT AS total_line_items, escalation_count::BIGINT AS escalation_count,
+  error_message FROM batched""")
+def q_sink_batch_details(spark, sf_dir):
+    """Per-file results and failures written as two tables and read back."""
+    path = shared_dir(spark, "details") + "/t"
+    SK.sink_batch_details(_batched(spark, sf_dir), path)
+    schema = "batch_id string, job_id string, status string, total_line_items bigint, escalation_count bigint, error_message string"
+    return spark.read.schema(schema).json(path + "/results").unionByName(spark.read.schema(schema).json(path + "/failures"))

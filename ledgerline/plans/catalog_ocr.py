@@ -125,16 +125,15 @@ def q_scan_pages(spark, sf_dir):
     return p.select("doc_id", "page_no", F.length("text").alias("n_chars"), "method")
 
 
-@register("scan_page_files", None)
+@register("scan_page_files", "WITH " + O.cte_pages() + "\nSELECT cast(doc_id AS varchar) AS doc_id, page_no, text FROM pages_r")
 def q_scan_page_files(spark, sf_dir):
-    """Page text files, one folder per document (O-02, text source): the
-    paged documents written as text files and read back with ``wholetext``."""
+    """Page texts, one file per document (O-02, text source): written with
+    form feeds between pages and read back with ``wholetext``."""
     base = shared_dir(spark, "pagefiles")
-    pages = FX.render_pages(spark, sf_dir).where(F.col("text") != "")   # blank pages leave no file
-    # layout: <base>/files/doc=<id>/p=<page>/part-*.txt, one file per page
-    (pages.select(F.col("doc_id").cast("string").alias("doc"), F.lpad(F.col("page_no").cast("string"), 6, "0")
-                  .alias("p"), "text")
-     .write.partitionBy("doc", "p").text(base + "/files"))
+    docs = FX.render_pages(spark, sf_dir).groupBy(F.col("doc_id").cast("string").alias("doc")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), "\f")
+        .alias("text"))
+    docs.write.partitionBy("doc").text(base + "/files")
     return TB.scan_page_files(spark, base + "/files", glob="*.txt", doc_pattern=r"/doc=([^/]+)/")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import lookup as LK
+from ..operators import jobs as J
 from ..operators import resolve as R
 from . import fixtures as FX
 from . import oracle as O
@@ -67,10 +68,13 @@ answers_c AS (
   FROM answers_v)"""
 
 
-def _sql_resolved(mode: str = "worker") -> str:
+def _sql_resolved(mode: str = "worker", enabled: bool = False) -> str:
     gate = ("(pack_unit IS NULL OR pack_confidence < 0.6 OR pack_unit = 'UNK')" if mode == "worker"
             else "(escalation_flag OR pack_unit IS NULL)")
-    return _sql_items(True).rstrip() + f""",
+    if enabled:
+        gate += (" AND coalesce((SELECT coalesce(json_extract(options, '$.enable_agentic_lookup')::BOOLEAN, true) "
+                 "FROM jobs WHERE jobs.job_id = it.job_id), false)")
+    return _sql_items(True).rstrip() + (",\n" + O.cte_jobs() if enabled else "") + f""",
 {O.cte_answers()},
 {_cte_answers_checked()},
 it AS (SELECT concat('job_', cast(o_orderkey AS varchar)) AS job_id, * EXCLUDE (o_orderkey) FROM items),
@@ -103,7 +107,7 @@ r5 AS (
     CASE WHEN on_accept THEN on_qty WHEN llm_accept THEN a_qty END AS f_qty,
     CASE WHEN NOT _try THEN NULL WHEN on_accept THEN on_conf WHEN llm_accept THEN a_conf ELSE 0.0::DOUBLE END AS lookup_confidence,
     CASE WHEN on_accept THEN 'online_lookup' WHEN llm_accept THEN 'llm_inferred' END AS lookup_source,
-    CASE WHEN on_accept THEN on_reason WHEN llm_accept THEN a_reason END AS lookup_reasoning,
+    CASE WHEN on_accept THEN on_reason WHEN llm_accept THEN a_reason WHEN _try THEN {O.q(X.MSG_ALL_FAILED_REASON)} END AS lookup_reasoning,
     CASE WHEN _try AND NOT on_accept AND NOT llm_accept THEN '{X.MSG_ALL_FAILED}' END AS lookup_error
   FROM r4),
 resolved AS (
@@ -227,6 +231,54 @@ def q_resolve_uom(spark, sf_dir):
         "lookup_error")
 
 
+_LOOKUP_COLUMNS = ["job_id", "line_no", "lookup_success", "lookup_source", "lookup_confidence", "lookup_reasoning",
+                   "lookup_error"]
+_LOOKUP_SQL = f"\nSELECT {', '.join(_LOOKUP_COLUMNS)} FROM resolved WHERE _try"
+
+
+@register("resolve_uom_cli", _sql_resolved("cli") + _LOOKUP_SQL)
+def q_resolve_uom_cli(spark, sf_dir):
+    """Resolution with the command line's gate: escalated items too."""
+    return _resolved(spark, sf_dir, "cli").where(F.col("lookup_success").isNotNull()).select(*_LOOKUP_COLUMNS)
+
+
+@register("resolve_uom_enabled", _sql_resolved(enabled=True) + _LOOKUP_SQL)
+def q_resolve_uom_enabled(spark, sf_dir):
+    """Resolution only where the job's options ask for it (by default they do)."""
+    jobs = J.json_options(FX.render_jobs(spark, sf_dir)).select("job_id", "enable_agentic_lookup")
+    items = _items(spark, sf_dir).join(jobs, "job_id", "left")
+    r = R.resolve_uom(items, answers=FX.render_answers(spark, sf_dir), enabled=F.col("enable_agentic_lookup"))
+    return r.where(F.col("lookup_success").isNotNull()).select(*_LOOKUP_COLUMNS)
+
+
+def _part_rules(spark, sf_dir):
+    """A catalogue of two keywords per part: too large to inline from 1,000 parts on."""
+    return FX.table(spark, sf_dir, "part").selectExpr(
+        "cast(p_partkey as int) as priority", "array(lower(p_name), concat('no-such-', p_partkey)) as keywords",
+        "case p_partkey % 3 when 0 then 'CS' when 1 then 'BX' else 'EA' end as uom",
+        "cast(1 + p_partkey % 12 as int) as pack_quantity", "cast(0.7 as double) as confidence",
+        "'by part' as reasoning", "'part' as tag")
+
+
+@register("resolve_uom_large_catalogue", _sql_items(True).rstrip() + f""",
+tried AS (SELECT concat('job_', cast(o_orderkey AS varchar)) AS job_id, line_no, lower(coalesce(item_description, '')) AS d,
+    {_TERMS} AS terms FROM items
+  WHERE (pack_unit IS NULL OR pack_confidence < 0.6 OR pack_unit = 'UNK') AND NOT coalesce(pack_confidence > 0.7, false)),
+ds AS (SELECT DISTINCT d FROM tried),
+hit AS (SELECT d, min(p_partkey) AS k FROM ds JOIN part ON contains(d, lower(p_name)) GROUP BY d)
+SELECT job_id, line_no, k IS NOT NULL AND len(terms) > 0 AS lookup_success,
+  CASE WHEN len(terms) > 0 THEN CASE k % 3 WHEN 0 THEN 'CS' WHEN 1 THEN 'BX' WHEN 2 THEN 'EA' END END AS uom,
+  CASE WHEN len(terms) > 0 THEN 1 + k % 12 END AS pack_quantity
+FROM tried LEFT JOIN hit USING (d)""")
+def q_resolve_uom_large_catalogue(spark, sf_dir):
+    """Resolution by a catalogue built from the part table, joined or inlined
+    by its size."""
+    r = R.resolve_uom(_items(spark, sf_dir), rules=_part_rules(spark, sf_dir))
+    ok = F.col("lookup_success")
+    return r.where(ok.isNotNull()).select("job_id", "line_no", "lookup_success", F.when(ok, F.col("pack_info.unit")).alias("uom"),
+                                          F.when(ok, F.col("pack_info.quantity")).alias("pack_quantity"))
+
+
 @register("apply_resolution", _sql_resolved() + """
 SELECT job_id, line_no,
   CASE WHEN applied THEN f_uom ELSE original_uom END AS original_uom,

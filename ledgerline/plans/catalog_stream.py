@@ -2,7 +2,7 @@
 
 Stream queries write their input rows (rendered from the tables) as files
 in a fresh folder under the shared checkpoint folder, run the stream with
-``availableNow`` (several micro-batches: one file per trigger), and return
+``availableNow`` (several micro-batches), and return
 what the sink holds, read back as a batch DataFrame."""
 
 from __future__ import annotations
@@ -23,9 +23,15 @@ def _obs(spark, sf_dir):
     return FX.render_observations(spark, sf_dir).withColumn("file_hash", F.md5(F.col("content")))
 
 
-def _write_inputs(df, name, spark, files=4):
+#: Rows of an arriving file, and files of a micro-batch.
+ROWS_PER_FILE, FILES_PER_BATCH = 20_000, 16
+
+
+def _write_inputs(df, name, spark):
+    """The rows as arriving files, written by the tasks that hold them; their
+    number grows with the rows."""
     path = shared_dir(spark, name) + "/in"
-    df.repartition(files).write.parquet(path)
+    df.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
     return path
 
 
@@ -69,24 +75,36 @@ def q_stable_files(spark, sf_dir):
                     F.col("ready_at").cast("string").alias("ready_at"), "ready_size", "status", "observations")
 
 
-@register("scan_files", None)
+_USER_FILES = _OBS.rstrip() + r""",
+files AS (SELECT regexp_extract(path, '/in/(\d+)\.pdf', 1) AS "user",
+  string_agg(content || chr(10), '' ORDER BY event_id) AS body FROM observations GROUP BY 1)
+"""
+
+
+def _write_user_files(spark, sf_dir, base):
+    """Observation contents as one text file per user, in event order."""
+    obs = FX.render_observations(spark, sf_dir).select(
+        F.regexp_extract("path", r"/in/(\d+)\.pdf", 1).alias("user"), "event_id", "content")
+    (obs.repartition("user").sortWithinPartitions("user", "event_id").select("user", "content")
+     .write.partitionBy("user").text(base + "/docs"))
+
+
+@register("scan_files", _USER_FILES + 'SELECT "user", strlen(body) AS file_size, md5(body) AS file_hash FROM files')
 def q_scan_files(spark, sf_dir):
-    """Observation contents written as one text file per user folder, then
-    listed and hashed with the binary-file source (O-01 + O-59)."""
+    """Files of a folder tree, listed and hashed with the binary-file source
+    (O-01 + O-59)."""
     base = shared_dir(spark, "files")
-    obs = FX.render_observations(spark, sf_dir).select(
-        F.regexp_extract("path", r"/in/(\d+)\.pdf", 1).alias("user"), "content")
-    obs.write.partitionBy("user").text(base + "/docs")
+    _write_user_files(spark, sf_dir, base)
     files = S.scan_files(spark, base + "/docs", glob="*.txt", with_hash=True, suffix=".txt", recursive=True)
     return files.select(F.regexp_extract("file_path", r"user=(\d+)", 1).alias("user"), "file_size", "file_hash")
 
 
 @register("stream_ingest", _OBS + "SELECT event_id, path, md5(content) AS file_hash FROM observations")
 def q_stream_ingest(spark, sf_dir):
-    """File-arrival records streamed in one file per trigger (O-61)."""
+    """File-arrival records streamed in, some files per trigger (O-61)."""
     obs = _obs(spark, sf_dir)
     src = _write_inputs(obs, "ingest", spark)
-    stream = S.read_table_stream(spark, src, obs.schema, max_files=1)
+    stream = S.read_table_stream(spark, src, obs.schema, max_files=FILES_PER_BATCH)
     out = src.rsplit("/", 1)[0] + "/out"
     q = (stream.select("event_id", "path", "file_hash").writeStream.format("parquet")
          .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start(out))
@@ -99,7 +117,7 @@ def q_stream_dedupe(spark, sf_dir):
     """Content-hash de-duplication over the stream (O-62): each hash once."""
     obs = _obs(spark, sf_dir)
     src = _write_inputs(obs, "dedupe", spark)
-    stream = S.dedupe_stream(S.read_table_stream(spark, src, obs.schema, max_files=1))
+    stream = S.dedupe_stream(S.read_table_stream(spark, src, obs.schema, max_files=FILES_PER_BATCH))
     out = src.rsplit("/", 1)[0] + "/out"
     q = (stream.select("file_hash").writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start(out))
@@ -109,17 +127,17 @@ def q_stream_dedupe(spark, sf_dir):
 
 @register("stream_dedupe_watermark", _OBS + "SELECT DISTINCT md5(content) AS file_hash FROM observations")
 def q_stream_dedupe_watermark(spark, sf_dir):
-    """Bounded-state variant: duplicates within an hour of event time are
-    dropped; the set of hashes that reach the sink is every hash."""
+    """Bounded-state variant: a hash is forgotten an hour after its ingestion;
+    the replay takes less, so each hash reaches the sink once."""
     obs = _obs(spark, sf_dir)
     src = _write_inputs(obs, "dedupe_wm", spark)
-    stream = S.dedupe_stream(S.read_table_stream(spark, src, obs.schema, max_files=1),
-                             event_time="observed_at", delay="1 hour")
+    stream = S.dedupe_stream(S.read_table_stream(spark, src, obs.schema, max_files=FILES_PER_BATCH),
+                             within="1 hour")
     out = src.rsplit("/", 1)[0] + "/out"
     q = (stream.select("file_hash").writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start(out))
     q.awaitTermination()
-    return spark.read.parquet(out).select("file_hash").distinct()
+    return spark.read.parquet(out)
 
 
 def _run_extraction_stream(spark, sf_dir):
@@ -127,7 +145,7 @@ def _run_extraction_stream(spark, sf_dir):
         "o_orderkey", F.concat(F.lit("/in/"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("file_path"),
         "txt", F.md5("txt").alias("file_hash"), F.current_timestamp().alias("modificationTime"))
     src = _write_inputs(inv, "extract", spark)
-    stream = S.read_table_stream(spark, src, inv.schema, max_files=1)
+    stream = S.read_table_stream(spark, src, inv.schema, max_files=FILES_PER_BATCH)
     out = src.rsplit("/", 1)[0] + "/out"
 
     def per_batch(batch, batch_id):
@@ -148,7 +166,7 @@ def q_stream_extract(spark, sf_dir):
 
 @register("file_state", "WITH " + O.cte_invoices() + """
 SELECT concat('/in/', cast(o_orderkey AS varchar), '.pdf') AS file_path, md5(txt) AS file_hash, true AS processed,
-  concat('job_', substring(md5(txt), 1, 12)) AS job_id FROM invoices""")
+  concat('job_', md5(concat('/in/', cast(o_orderkey AS varchar), '.pdf', chr(10), md5(txt)))) AS job_id FROM invoices""")
 def q_file_state(spark, sf_dir):
     """Per-file bookkeeping written by the extraction stream (O-64)."""
     out = _run_extraction_stream(spark, sf_dir)
@@ -156,17 +174,15 @@ def q_file_state(spark, sf_dir):
     return st.select("file_path", "file_hash", "processed", "job_id")
 
 
-@register("stream_files", None)
+@register("stream_files", _USER_FILES + "SELECT DISTINCT strlen(body) AS length, md5(body) AS file_hash FROM files")
 def q_stream_files(spark, sf_dir):
-    """Binary-file stream (O-61 + O-59 + O-62): one file per user folder,
-    listed as it arrives, hashed and de-duplicated by content."""
+    """Binary-file stream (O-61 + O-59 + O-62): files listed as they arrive,
+    hashed and de-duplicated by content."""
     base = shared_dir(spark, "fstream")
-    obs = FX.render_observations(spark, sf_dir).select(
-        F.regexp_extract("path", r"/in/(\d+)\.pdf", 1).alias("user"), "content")
-    obs.write.partitionBy("user").text(base + "/docs")
+    _write_user_files(spark, sf_dir, base)
     st = S.read_file_stream(spark, base + "/docs", glob="*.txt", max_files=50, recursive=True)
     hashed = S.dedupe_stream(S.file_hash(st).select(F.col("path").alias("file_path"), "length", "file_hash"))
     q = (hashed.writeStream.format("parquet").option("checkpointLocation", base + "/ck")
          .trigger(availableNow=True).start(base + "/out"))
     q.awaitTermination()
-    return spark.read.parquet(base + "/out")
+    return spark.read.parquet(base + "/out").select("length", "file_hash")

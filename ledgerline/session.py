@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -57,16 +58,5 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     spark.sparkContext.setCheckpointDir(base)
-    sep = "" if base.endswith("/") else "/"
-    if "://" in base:
-        return f"{base}{sep}{name}-{os.getpid()}-{_counter()}"
-    path = tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-    return path
-
-
-_COUNT = [0]
-
-
-def _counter() -> int:
-    _COUNT[0] += 1
-    return _COUNT[0]
+    # Spark creates the folder when it writes; the name is unique across drivers
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

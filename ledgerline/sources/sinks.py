@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 def sink_line_items(items: DataFrame, path: str, partition_by: tuple[str, ...] = ("escalation_flag",),
                     mode: str = "append") -> None:
     """Append items as Parquet, partitioned so escalation reads prune
-    folders; rows are clustered by job within each file (O-04)."""
-    (items.repartition(*partition_by).sortWithinPartitions("job_id", "line_no")
+    folders; rows are ordered by job within each file (O-04).  Every task
+    writes what it has: no shuffle, and no flag value meets in one task."""
+    (items.sortWithinPartitions(*partition_by, "job_id", "line_no")
      .write.mode(mode).partitionBy(*partition_by).parquet(path))
 
 
@@ -40,9 +41,17 @@ def sink_json_documents(docs: DataFrame, path: str, mode: str = "overwrite") ->
 
 
 def sink_batch_summary(summary: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Batch summaries are one row per batch: written as a single JSON file
-    (O-06)."""
-    summary.coalesce(1).write.mode(mode).json(path)
+    """Batch summaries, one row per batch, as JSON lines (O-06); written by
+    the tasks that hold them."""
+    summary.write.mode(mode).json(path)
+
+
+def sink_batch_details(results: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Per-file results and failures of the batches as JSON lines in two
+    folders (O-06), one row per job."""
+    done = F.col("status") == "completed"
+    results.where(done).drop("error_message").write.mode(mode).json(f"{path}/results")
+    results.where(~done).write.mode(mode).json(f"{path}/failures")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

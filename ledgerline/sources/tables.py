@@ -21,31 +21,25 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target)
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
-
-
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     """Page-text rows ``(doc_id, page_no, text, method, confidence, ...)``
     from Parquet (O-02)."""
     return spark.read.parquet(path)
 
 
-def scan_page_files(spark: SparkSession, path: str, glob: str = "*.txt",
-                    doc_pattern: str = r"^(.*)/[^/]+$") -> DataFrame:
-    """One page per text file: ``(doc_id, page_no, text)``; the document id
-    is group 1 of ``doc_pattern`` on the file path (default: the folder)
-    and pages are numbered from 1 in path order within it (O-02).  The
-    numbering window holds one document's pages."""
-    from pyspark.sql import Window
+def scan_page_files(spark: SparkSession, path: str, glob: str = "*.txt", doc_pattern: str = r"([^/]+)/[^/]+$",
+                    page_break: str = "\f") -> DataFrame:
+    """One text file per document, pages separated by form feeds (O-02):
+    ``(doc_id, page_no, text)``.  The document id is group 1 of
+    ``doc_pattern`` on the file path (default: the folder); pages are numbered
+    from 1 as they stand in the file, blank ones included; a line end at the
+    file's end is not part of the last page."""
     from pyspark.sql import functions as F
     df = (spark.read.option("wholetext", "true").option("pathGlobFilter", glob)
           .option("recursiveFileLookup", "true").text(path)
-          .select(F.input_file_name().alias("path"), F.col("value").alias("text")))
-    df = df.select(F.regexp_extract("path", doc_pattern, 1).alias("doc_id"), "path", "text")
-    w = Window.partitionBy("doc_id").orderBy("path")
-    return df.select("doc_id", F.row_number().over(w).alias("page_no"), "text")
+          .select(F.regexp_extract(F.input_file_name(), doc_pattern, 1).alias("doc_id"),
+                  F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), page_break, -1)).alias("pos", "text")))
+    return df.select("doc_id", (F.col("pos") + 1).alias("page_no"), "text")
 
 
 def scan_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -104,23 +104,22 @@ def read_table_stream(spark: SparkSession, path: str, schema, max_files: int | N
     return r.load(path)
 
 
-def dedupe_stream(stream: DataFrame, key: str = "file_hash", event_time: str | None = None,
-                  delay: str = "1 hour") -> DataFrame:
-    """Skip content seen before (O-62).  Without ``event_time`` the set of
-    seen keys is kept for ever; with it, state is dropped once the watermark
-    passes ``delay``."""
-    if event_time is None:
+def dedupe_stream(stream: DataFrame, key: str = "file_hash", within: str | None = None) -> DataFrame:
+    """Skip content seen before (O-62).  Without ``within`` the set of seen
+    keys is kept for ever; with it, a key is forgotten that long after it was
+    last let through.  The clock is the time of ingestion, not a time in the
+    data, so no row can be late and none is dropped unseen."""
+    if within is None:
         return stream.dropDuplicates([key])
-    # watermarks need a TIMESTAMP (not TIMESTAMP_NTZ) column
-    marked = stream.withColumn("_event_ts", F.col(event_time).cast("timestamp"))
-    return marked.withWatermark("_event_ts", delay).dropDuplicatesWithinWatermark([key]).drop("_event_ts")
+    marked = stream.withColumn("_arrived", F.current_timestamp())
+    return marked.withWatermark("_arrived", within).dropDuplicatesWithinWatermark([key]).drop("_arrived")
 
 
 def file_state_rows(batch: DataFrame, batch_id: int, processed: bool = True) -> DataFrame:
     """Bookkeeping rows for the files of a micro-batch (O-64)."""
     return batch.select(
         F.col("file_path"), F.col("file_hash"), F.lit(processed).alias("processed"),
-        F.concat(F.lit("job_"), F.substring(F.col("file_hash"), 1, 12)).alias("job_id"),
+        F.concat(F.lit("job_"), F.md5(F.concat_ws("\n", "file_path", "file_hash"))).alias("job_id"),
         F.col("modificationTime").alias("discovered_at"), F.current_timestamp().alias("processed_at"),
         F.lit(batch_id).cast("bigint").alias("batch_id"))
 
