@@ -143,21 +143,23 @@ _PAGE_CONF = "CASE WHEN page_no % 2 = 0 THEN 0.75 ELSE 0.65 END"
 
 
 def _invoice_candidates(spark, sf_dir):
-    """Each line of a rendered invoice is an OCR page, read by two engines."""
+    """Each line of a rendered invoice is an OCR page, read by two engines;
+    an engine cleans its text before it is judged."""
     inv = FX.render_invoices(spark, sf_dir)
     pages = inv.select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.split("txt", "\n")).alias("pos", "text"))
-    pages = pages.select("doc_id", (F.col("pos") + 1).alias("page_no"), "text")
-    paddle = pages.select("doc_id", "page_no", F.lit("paddle_ocr").alias("method"), F.lit(2).alias("priority"),
-                          "text", F.expr(_PAGE_CONF).cast("double").alias("confidence"))
-    raw = pages.select("doc_id", "page_no", F.lit("tesseract_raw").alias("method"), F.lit(4).alias("priority"),
-                       "text", T.raw_text_confidence(F.col("text")).alias("confidence"))
-    return paddle.unionByName(raw)
+    pages = pages.select("doc_id", (F.col("pos") + 1).alias("page_no"), T.clean_text("text").alias("text"))
+    candidate = lambda method, conf: F.struct(F.lit(method).alias("method"), F.col("text").alias("text"),
+                                              conf.alias("confidence"))
+    return pages.select("doc_id", "page_no", F.inline(F.array(
+        candidate("paddle_ocr", F.expr(_PAGE_CONF).cast("double")),
+        candidate("tesseract_raw", T.raw_text_confidence(F.col("text"))))))
 
 
 @register("document_line_items", "WITH " + O.cte_invoices() + f""",
 pg0 AS (SELECT o_orderkey AS doc_id, unnest(w) AS text, unnest(generate_series(1, len(w))) AS page_no
         FROM (SELECT o_orderkey, string_split(txt, chr(10)) AS w FROM invoices)),
-pg AS (SELECT *, length(text) > 50 AND {_PAGE_CONF} > 0.7 AS paddle_ok, {O.clean_text('text')} AS clean FROM pg0),
+pg1 AS (SELECT *, {O.clean_text('text')} AS clean FROM pg0),
+pg AS (SELECT *, length(clean) > 50 AND {_PAGE_CONF} > 0.7 AS paddle_ok FROM pg1),
 docs AS (SELECT doc_id, coalesce(string_agg(CASE WHEN clean <> '' THEN clean END,
            chr(10) || chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10) ORDER BY page_no), '') AS text,
            sum(CASE WHEN paddle_ok THEN 1 ELSE 0 END) AS paddle_pages, count(*) AS total_pages
@@ -170,13 +172,14 @@ SELECT d.doc_id, d.total_pages, d.paddle_pages, coalesce(p.items, 0) AS items, p
   coalesce(p.escalated, 0) AS escalated
 FROM docs d LEFT JOIN per_doc p USING (doc_id)""")
 def q_document_line_items(spark, sf_dir):
-    """OCR candidates -> chosen page text (O-26) -> cleaned pages (O-31) ->
-    document text (O-30) -> line items (O-52) -> per-document summary."""
+    """Cleaned OCR candidates (O-31) -> chosen page text (O-26) -> document
+    text (O-30) -> line items (O-52) -> per-document summary."""
     from ..operators import extract as E
+    from ..sources.sinks import materialize
     chosen = OC.select_ocr_candidate(_invoice_candidates(spark, sf_dir))
-    pages = chosen.select("doc_id", "page_no", T.clean_text("text").alias("text"),
-                          (F.col("method") == "paddle_ocr").alias("_paddle"))
-    docs = OC.concat_pages(pages, style="worker", extra=[F.count_if("_paddle").alias("paddle_pages")])
+    pages = chosen.select("doc_id", "page_no", "text", (F.col("method") == "paddle_ocr").alias("_paddle"))
+    # feeds the extraction and the summary
+    docs = materialize(OC.concat_pages(pages, style="worker", extra=[F.count_if("_paddle").alias("paddle_pages")]), "docs")
     items = E.extract_line_items(docs, ["doc_id"], text="text", clean=True)
     per_doc = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"),
                                           F.round(F.sum("total_amount"), 2).alias("total_amount"),

@@ -43,20 +43,26 @@ def recommended_conf(shuffle_partitions: int) -> dict[str, str]:
     }
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+_LOCAL_BASE: dict[str, str] = {}
+
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is
-    unset on a local master (tests, bench) a folder under /tmp is made and
-    registered.  On a cluster without the setting this raises: a machine-local
-    folder is never used there."""
+def _shared_base(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset on a
+    local master (tests, bench) a folder under /tmp, one per application.  On
+    a cluster without the setting this raises: a machine-local folder is
+    never used there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
-    # Spark creates the folder when it writes; the name is unique across drivers
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_BASE:
+        _LOCAL_BASE[app] = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
+    return _LOCAL_BASE[app]
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path under the cluster's shared folder, with or without a
+    scheme; Spark creates it when it writes, on the file system it names."""
+    return f"{_shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
