@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: A word is a run of characters that are not ASCII white space.
-WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +23,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def with_let(col: Column, body) -> Column:
-    """``body(x)`` with ``x`` bound to the value of ``col`` once, so that an
-    expensive expression is not evaluated again at each use."""
-    return F.transform(F.array(col), body)[0]
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the session's ``spark.checkpoint.dir``.  On a local
     master without the setting (tests) a temporary folder is made."""
@@ -65,9 +58,23 @@ class WordCache(dict):
     becomes the old generation, from which words that come again move over.
     Words longer than ``longest`` are never kept."""
 
+    #: All caches of this worker.
+    alive: weakref.WeakSet = weakref.WeakSet()
+
     def __init__(self, compute, size: int = 200_000, longest: int = 64):
         super().__init__()
         self.compute, self.size, self.longest, self.old = compute, size, longest, {}
+        self.alive.add(self)
+
+    __hash__ = object.__hash__
+
+    @classmethod
+    def empty_others(cls, module: str) -> None:
+        """Empty what other modules' operators have left in this worker."""
+        for cache in list(cls.alive):
+            if cache.compute.__module__ != module:
+                cache.old = {}
+                cache.clear()
 
     def __missing__(self, word):
         if len(word) > self.longest:
@@ -84,12 +91,18 @@ class WordCache(dict):
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded in rows and bytes, so that long
-    texts don't pile up in one batch."""
+    texts don't pile up in one batch; a worker that served another operator
+    gives back its caches first."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        WordCache.empty_others(function.__module__)
+        yield from function(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def pack(numbers: np.ndarray) -> bytes:

@@ -132,7 +132,7 @@ class PieceModel:
                     x, i = left[i][1], i + 1
                 else:
                     y, j = right[j][1], j + 1
-            if len(self.pairs) >= 500_000:
+            if len(self.pairs) >= 200_000:
                 self.pairs.clear()
             self.pairs[a, b] = known
         return known
@@ -267,7 +267,7 @@ def _stretch_cache(path: str) -> WordCache:
         ids = model.encode_stretch(part)
         return len(ids), " ".join(map(str, ids)), model.decode_part(ids)
 
-    stretches = WordCache(entry, 300_000)
+    stretches = WordCache(entry, 200_000)
     return stretches
 
 
