@@ -192,21 +192,31 @@ def q_sink_line_items(spark, sf_dir):
                                            "confidence_score")
 
 
-@register("sink_json_documents", _JOB_ITEMS + """
-SELECT j.job_id, count(i.line_no) AS n_items, min(i.line_no) AS first_line_no
-FROM jobs j LEFT JOIN it i USING (job_id) GROUP BY j.job_id""")
+@register("sink_json_documents", _JOB_ITEMS.rstrip() + """,
+agg AS (SELECT job_id, count(*) AS n_items, min(line_no) AS first_line_no,
+  list(item_description ORDER BY line_no)[1] AS first_description, list(unit_price ORDER BY line_no)[1] AS first_price,
+  sum(CASE WHEN coalesce(original_uom, '') <> '' THEN 1 ELSE 0 END)::BIGINT AS items_with_uom,
+  sum(CASE WHEN escalation_flag THEN 1 ELSE 0 END)::BIGINT AS items_requiring_escalation FROM it GROUP BY job_id)
+SELECT j.job_id, j.file_name, j.status, coalesce(n_items, 0) AS n_items, first_line_no, first_description, first_price,
+  coalesce(items_with_uom, 0) AS items_with_uom, coalesce(items_requiring_escalation, 0) AS items_requiring_escalation,
+  coalesce(json_extract(options, '$.enable_agentic_lookup')::BOOLEAN, false) AS agentic_lookup_used
+FROM jobs j LEFT JOIN agg USING (job_id)""")
 def q_sink_json_documents(spark, sf_dir):
-    """One JSON document per job, written and read back; compared on fields
-    parsed from the written JSON."""
-    items = line_items_table(spark, sf_dir)
-    docs = SK.json_documents(_jobs(spark, sf_dir).select("job_id", "file_name", "status"), items)
+    """One JSON document per job (header, extraction summary, line items),
+    written and read back; compared on fields parsed from the written JSON."""
+    items = SK.materialize(line_items_table(spark, sf_dir), "json-items")   # feeds the items and the summary
+    jobs = _jobs(spark, sf_dir)
+    docs = SK.json_documents(jobs.select("job_id", "file_name", "status"), items, summary=J.extraction_summary(items, jobs))
     path = shared_dir(spark, "jsondocs") + "/t"
     SK.sink_json_documents(docs, path)
-    back = spark.read.text(path)
-    li = F.from_json(F.get_json_object("value", "$.line_items"), "array<struct<line_no:int>>")
-    return back.select(F.get_json_object("value", "$.job_id").alias("job_id"),
-                       F.coalesce(F.size(li), F.lit(0)).cast("bigint").alias("n_items"),
-                       F.array_min(F.transform(li, lambda x: x["line_no"])).alias("first_line_no"))
+    schema = ("job_id string, file_name string, status string, extraction_summary struct<items_with_uom:bigint,"
+              "items_requiring_escalation:bigint,agentic_lookup_used:boolean>, "
+              "line_items array<struct<line_no:int,item_description:string,unit_price:double>>")
+    d = spark.read.text(path).select(F.from_json("value", schema).alias("d")).select("d.*")
+    first = F.get("line_items", F.lit(0))
+    return d.select("job_id", "file_name", "status", F.coalesce(F.size("line_items"), F.lit(0)).cast("bigint").alias("n_items"),
+                    first["line_no"].alias("first_line_no"), first["item_description"].alias("first_description"),
+                    first["unit_price"].alias("first_price"), "extraction_summary.*")
 
 
 _BATCHED = _RESULTS.rstrip() + f""",

@@ -279,7 +279,7 @@ def q_resolve_uom_large_catalogue(spark, sf_dir):
                                           F.when(ok, F.col("pack_info.quantity")).alias("pack_quantity"))
 
 
-@register("apply_resolution", _sql_resolved() + """
+_APPLIED_SQL = _sql_resolved() + """
 SELECT job_id, line_no,
   CASE WHEN applied THEN f_uom ELSE original_uom END AS original_uom,
   CASE WHEN applied THEN f_qty ELSE detected_pack_quantity END AS detected_pack_quantity,
@@ -291,15 +291,21 @@ SELECT job_id, line_no,
   CASE WHEN applied THEN lookup_source ELSE pack_source END AS pack_source,
   CASE WHEN applied THEN lookup_confidence ELSE pack_confidence END AS pack_confidence,
   confidence_score
-FROM resolved""")
-def q_apply_resolution(spark, sf_dir):
-    r = _resolved(spark, sf_dir)
+FROM resolved"""
+
+
+def applied_columns(r):
     return r.select("job_id", "line_no", "original_uom", "detected_pack_quantity", "price_per_base_unit",
                     F.array_join("escalation_reasons", ",").alias("escalation_reasons"), "escalation_flag",
                     F.col("pack_info.source").alias("pack_source"),
                     F.col("pack_info.confidence").alias("pack_confidence"), "confidence_score")
 
 
+@register("apply_resolution", _APPLIED_SQL)
+def q_apply_resolution(spark, sf_dir):
+    return applied_columns(_resolved(spark, sf_dir))
+
+
 _AUDIT_SQL = _sql_resolved() + f""",
 aud AS (
   SELECT job_id, line_no, 0 AS attempt_no, 'online_lookup' AS lookup_source, array_to_string(_terms, ' ') AS lookup_query,

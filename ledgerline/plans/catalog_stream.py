@@ -10,11 +10,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extract as E
+from ..operators import jobs as J
+from ..operators import resolve as R
 from ..session import shared_dir
+from ..sources.sinks import materialize
 from ..streaming import ingest as S
 from . import fixtures as FX
 from . import oracle as O
 from .catalog import ITEM_OUT, _sql_items, register
+from .catalog_resolve import _APPLIED_SQL, _sql_resolved, applied_columns
+
+_JOB_COUNTS_SQL = _sql_resolved() + """
+SELECT concat('job_', cast(o_orderkey AS varchar)) AS job_id, 'completed' AS status, coalesce(n, 0)::BIGINT AS total_line_items,
+  coalesce(e, 0)::BIGINT AS escalation_count
+FROM invoices LEFT JOIN (SELECT job_id, count(*) AS n, sum(CASE WHEN escalation_flag OR escalate THEN 1 ELSE 0 END) AS e
+  FROM resolved GROUP BY job_id) r ON r.job_id = concat('job_', cast(o_orderkey AS varchar))"""
 
 _OBS = "WITH " + O.cte_observations() + "\n"
 
@@ -174,6 +184,58 @@ def q_file_state(spark, sf_dir):
     return st.select("file_path", "file_hash", "processed", "job_id")
 
 
+def run_chain(spark, src, schema, out, checkpoint, answers):
+    """Arriving files -> new by path and content -> items -> units resolved ->
+    items, audit, job results and state, batch by batch (O-61..O-64)."""
+    def per_batch(batch, batch_id):
+        todo = materialize(S.new_files(batch, S.earlier_state(spark, out + "/state", batch_id)), "new-files")
+        resolved = R.resolve_uom(E.extract_line_items(todo, ["job_id"], text="txt"), answers=answers)
+        resolved = materialize(resolved, "resolved")
+        jobs = J.job_result_rows(todo.select("job_id", F.col("txt").alias("text")), resolved)
+        return {"items": resolved, "audit": R.lookup_audit(resolved), "jobs": jobs,
+                "state": S.file_state_rows(todo, batch_id)}
+
+    stream = S.read_table_stream(spark, src, schema, max_files=FILES_PER_BATCH)
+    S.start_extraction(stream, out, checkpoint, per_batch).awaitTermination()
+
+
+def _chain(spark, sf_dir):
+    """Every invoice as a file; every tenth arrives again under another path,
+    every seventh again as it was."""
+    inv = FX.render_invoices(spark, sf_dir).select("o_orderkey", "txt")
+    path = lambda folder: F.concat(F.lit(folder), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("file_path")
+    files = (inv.select("*", path("/in/")).union(inv.where("o_orderkey % 10 = 0").select("*", path("/in/copy-")))
+             .union(inv.where("o_orderkey % 7 = 0").select("*", path("/in/"))))
+    files = files.select(F.concat(F.lit("job_"), F.col("o_orderkey").cast("string")).alias("job_id"), "file_path", "txt",
+                         F.md5("txt").alias("file_hash"), F.current_timestamp().alias("modificationTime"))
+    src = _write_inputs(files, "chain", spark)
+    out = src.rsplit("/", 1)[0] + "/out"
+    run_chain(spark, src, files.schema, out, out + "_ckpt", FX.render_answers(spark, sf_dir))
+    return out
+
+
+@register("stream_jobs_items", _APPLIED_SQL)
+def q_stream_jobs_items(spark, sf_dir):
+    """Items that the whole chain leaves: each content once, units resolved."""
+    return applied_columns(spark.read.parquet(_chain(spark, sf_dir) + "/items"))
+
+
+@register("stream_jobs_state", "WITH " + O.cte_invoices() + """
+SELECT md5(txt) AS file_hash, 1::BIGINT AS files, true AS processed FROM invoices""")
+def q_stream_jobs_state(spark, sf_dir):
+    """Bookkeeping after the chain: one processed file per content."""
+    state = S.current_file_state(spark.read.parquet(_chain(spark, sf_dir) + "/state"))
+    return state.groupBy("file_hash").agg(F.count("*").alias("files"), F.every("processed").alias("processed"))
+
+
+@register("stream_jobs_results", _JOB_COUNTS_SQL)
+def q_stream_jobs_results(spark, sf_dir):
+    """Job results after the chain."""
+    out = spark.read.parquet(_chain(spark, sf_dir) + "/jobs")
+    return out.select("job_id", "status", F.col("total_line_items").cast("bigint").alias("total_line_items"),
+                      F.col("escalation_count").cast("bigint").alias("escalation_count"))
+
+
 @register("stream_files", _USER_FILES + "SELECT DISTINCT strlen(body) AS length, md5(body) AS file_hash FROM files")
 def q_stream_files(spark, sf_dir):
     """Binary-file stream (O-61 + O-59 + O-62): files listed as they arrive,

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed as X
+from ..sources.sinks import materialize
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 STATE_COLUMNS = ["file_path", "file_hash", "processed", "job_id", "discovered_at", "processed_at"]
@@ -124,6 +125,28 @@ def file_state_rows(batch: DataFrame, batch_id: int, processed: bool = True) ->
         F.lit(batch_id).cast("bigint").alias("batch_id"))
 
 
+def new_files(batch: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Files of a micro-batch that are new by path and by content: one file
+    per hash (the least path) and one per path (the least hash), minus those
+    that ``state`` has as processed."""
+    by_hash = batch.groupBy("file_hash").agg(F.min("file_path").alias("file_path"))
+    chosen = by_hash.groupBy("file_path").agg(F.min("file_hash").alias("file_hash"))
+    files = batch.join(chosen, ["file_path", "file_hash"], "left_semi").dropDuplicates(["file_path", "file_hash"])
+    return files if state is None else unprocessed_files(files, state)
+
+
+def earlier_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Bookkeeping of batches before this one, or None if there is none; a
+    replayed batch doesn't see its own rows."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path).where(F.col("batch_id") < batch_id)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def current_file_state(state: DataFrame) -> DataFrame:
     """Latest bookkeeping row per file across batches."""
     return (state.groupBy("file_path")
@@ -134,10 +157,12 @@ def start_extraction(stream: DataFrame, out: str, checkpoint: str,
                      transform: Callable[[DataFrame, int], dict[str, DataFrame]],
                      trigger: dict | None = None) -> StreamingQuery:
     """Run ``transform`` on every micro-batch and write each returned table
-    to ``out/<name>/batch_id=<id>`` with overwrite (O-63, O-64)."""
+    to ``out/<name>/batch_id=<id>`` with overwrite (O-63, O-64).  The batch
+    is stored once, so that no table computes it (or a stateful parent of it)
+    again; tables are written in the order returned, bookkeeping last."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        for name, df in transform(batch, batch_id).items():
-            df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        for name, df in transform(materialize(batch, "batch"), batch_id).items():
+            df.drop("batch_id").write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))

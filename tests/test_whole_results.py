@@ -153,3 +153,23 @@ def test_shared_folder_without_a_scheme(spark, tmp_path, monkeypatch):
     assert path.startswith(str(tmp_path)) and not (tmp_path / "not-yet-there").exists()
     spark.range(3).write.parquet(path)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_chain_skips_what_was_processed(spark):
+    """A second run over the same files, with a new checkpoint, adds nothing;
+    a new path with a known content neither."""
+    from ledgerline.plans import catalog_stream as CS
+    src = shared_dir(spark, "chain-test")
+    text = "Acme Ltd\nDescription Qty Rate Amount\n1 Steel bolt 40 EA AB-1234 10.00 400.00\nTotal 400.00\n"
+    rows = [("job_1", "/a.pdf", text, "h1"), ("job_2", "/b.pdf", text + " ", "h2"), ("job_1", "/c.pdf", text, "h1")]
+    df = spark.createDataFrame(rows, "job_id string, file_path string, txt string, file_hash string").withColumn(
+        "modificationTime", F.current_timestamp())
+    answers = spark.createDataFrame([], "job_id string, line_no int, answer string")
+    df.coalesce(1).write.parquet(src + "/in")
+    CS.run_chain(spark, src + "/in", df.schema, src + "/out", src + "/ck1", answers)
+    count = lambda: [spark.read.parquet(f"{src}/out/{t}").count() for t in ("items", "jobs", "state")]
+    first = count()
+    assert first[1:] == [2, 2]
+    df.where("file_path = '/c.pdf'").coalesce(1).write.mode("append").parquet(src + "/in")
+    CS.run_chain(spark, src + "/in", df.schema, src + "/out", src + "/ck1", answers)
+    assert count() == first
