@@ -94,7 +94,7 @@ class Model:
     weights: dict[int, float] = field(default_factory=dict)
 
     def score(self, features: set[int]) -> float:
-        z = self.prior + sum(map(self.weights.__getitem__, sorted(features)))
+        z = self.prior + sum(map(self.weights.__getitem__, sorted(features.intersection(self.weights))))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
