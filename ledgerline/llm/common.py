@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import weakref
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,11 +72,15 @@ class WordCache(dict):
 
     @classmethod
     def empty_others(cls, module: str) -> None:
-        """Empty what other modules' operators have left in this worker."""
-        for cache in list(cls.alive):
-            if cache.compute.__module__ != module:
-                cache.old = {}
-                cache.clear()
+        """Empty what other modules' operators have left in this worker, and
+        hand the memory back to the system."""
+        others = [c for c in cls.alive if c.compute.__module__ != module and (c or c.old)]
+        for cache in others:
+            cache.old = {}
+            cache.clear()
+        if others:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
     def __missing__(self, word):
         if len(word) > self.longest:
