@@ -267,7 +267,7 @@ def _stretch_cache(path: str) -> WordCache:
         ids = model.encode_stretch(part)
         return len(ids), " ".join(map(str, ids)), model.decode_part(ids)
 
-    stretches = WordCache(entry, 120_000)
+    stretches = WordCache(entry, 160_000)
     return stretches
 
 
