@@ -201,11 +201,14 @@ def run_chain(spark, src, schema, out, checkpoint, answers):
 
 def _chain(spark, sf_dir):
     """Every invoice as a file; every tenth arrives again under another path,
-    every seventh again as it was."""
+    every seventh again as it was; every thirteenth was also once under a path
+    that others with the same hundreds have rewritten."""
     inv = FX.render_invoices(spark, sf_dir).select("o_orderkey", "txt")
     path = lambda folder: F.concat(F.lit(folder), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("file_path")
     files = (inv.select("*", path("/in/")).union(inv.where("o_orderkey % 10 = 0").select("*", path("/in/copy-")))
-             .union(inv.where("o_orderkey % 7 = 0").select("*", path("/in/"))))
+             .union(inv.where("o_orderkey % 7 = 0").select("*", path("/in/")))
+             .union(inv.where("o_orderkey % 13 = 0").select("*", F.concat(
+                 F.lit("/in/0-"), F.floor(F.col("o_orderkey") / 100).cast("string"), F.lit(".pdf")))))
     files = files.select(F.concat(F.lit("job_"), F.col("o_orderkey").cast("string")).alias("job_id"), "file_path", "txt",
                          F.md5("txt").alias("file_hash"), F.current_timestamp().alias("modificationTime"))
     src = _write_inputs(files, "chain", spark)

@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,13 +127,33 @@ def file_state_rows(batch: DataFrame, batch_id: int, processed: bool = True) ->
 
 
 def new_files(batch: DataFrame, state: DataFrame | None) -> DataFrame:
-    """Files of a micro-batch that are new by path and by content: one file
-    per hash (the least path) and one per path (the least hash), minus those
-    that ``state`` has as processed."""
-    by_hash = batch.groupBy("file_hash").agg(F.min("file_path").alias("file_path"))
-    chosen = by_hash.groupBy("file_path").agg(F.min("file_hash").alias("file_hash"))
-    files = batch.join(chosen, ["file_path", "file_hash"], "left_semi").dropDuplicates(["file_path", "file_hash"])
-    return files if state is None else unprocessed_files(files, state)
+    """Files of a micro-batch that are new by path and by content: of the
+    rows that ``state`` doesn't have as processed, one hash per path (the
+    least), then one path per hash (the least), and again among the paths and
+    hashes still free, until no row is new by both.  A row without a hash has
+    unknown content: it equals no other, and stands for its path only if no
+    row of the path has a hash."""
+    left = batch.select("file_path", "file_hash").where(F.col("file_path").isNotNull()).distinct()
+    if state is not None:
+        left = unprocessed_files(left, state).select("file_path", "file_hash")
+    left = materialize(left, "new-pairs")
+    hashed, chosen = left.where(F.col("file_hash").isNotNull()), []
+    while True:
+        per_path = hashed.groupBy("file_path").agg(F.min("file_hash").alias("file_hash"), F.count(F.lit(1)).alias("n"))
+        per_hash = per_path.groupBy("file_hash").agg(F.min("file_path").alias("file_path"), F.max("n").alias("n"))
+        chosen.append(materialize(per_hash, "new-by-hash"))
+        # only a path with several contents can leave one behind
+        if chosen[-1].where("n > 1").isEmpty():
+            break
+        for key in ("file_path", "file_hash"):
+            hashed = hashed.join(chosen[-1].select(key), key, "left_anti")
+        hashed = materialize(hashed, "new-left")
+    readable = left.where(F.col("file_hash").isNotNull()).select("file_path").distinct()
+    unread = left.where(F.col("file_hash").isNull()).join(readable, "file_path", "left_anti")
+    picked = reduce(DataFrame.unionByName, [c.select("file_path", "file_hash") for c in chosen], unread.select("file_path", "file_hash"))
+    picked = picked.select(F.col("file_path").alias("_path"), F.col("file_hash").alias("_hash"))
+    return batch.join(picked, (F.col("file_path") == F.col("_path")) & F.col("file_hash").eqNullSafe(F.col("_hash")),
+                      "left_semi").dropDuplicates(["file_path", "file_hash"])
 
 
 def earlier_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:

@@ -173,3 +173,19 @@ def test_chain_skips_what_was_processed(spark):
     df.where("file_path = '/c.pdf'").coalesce(1).write.mode("append").parquet(src + "/in")
     CS.run_chain(spark, src + "/in", df.schema, src + "/out", src + "/ck1", answers)
     assert count() == first
+
+
+def test_new_files_keep_every_free_content(spark):
+    """A rewritten path takes no content from its copies, and unread files stay."""
+    def chosen(rows, state=None):
+        batch = spark.createDataFrame(rows, "file_path string, file_hash string")
+        done = None if state is None else spark.createDataFrame(state, "file_path string, file_hash string, processed boolean")
+        return sorted((tuple(r) for r in S.new_files(batch, done).select("file_path", "file_hash").collect()), key=str)
+
+    assert chosen([("p1", "h1"), ("p1", "h2"), ("p2", "h2")]) == [("p1", "h1"), ("p2", "h2")]
+    # the least hash of p1 goes to p0: p1 is free for its other one
+    assert chosen([("p0", "h1"), ("p1", "h1"), ("p1", "h2")]) == [("p0", "h1"), ("p1", "h2")]
+    # what is processed doesn't stand in the way of what isn't
+    assert chosen([("p1", "h1"), ("p1", "h2"), ("p2", "h2")], [("q", "h1", True), ("p3", "h9", False)]) == [("p1", "h2")]
+    assert chosen([("p1", None), ("p2", None), ("p2", None), ("p3", None), ("p3", "h3")], [("p1", None, True)]) == [
+        ("p2", None), ("p3", "h3")]
