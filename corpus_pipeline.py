@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from ledgerline.llm import decontaminate, ngram_join, personal_data, sentence_pieces, toxicity
 from ledgerline.llm.common import stored, table
 
+#: Near duplicates share 80 per cent of their five-word sequences; the op3 query has its own contract.
+NEAR_WORDS, NEAR_SHARE = 5, 80
+
 
 def _plain(docs: DataFrame) -> DataFrame:
     """``docs`` with every column but doc_id and text under a neutral name,
@@ -43,8 +46,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = stored(ngram_join.component_table(docs.select("doc_id", "text")).select("doc_id", "component_id")
-                    .where("doc_id IS NOT NULL"), "pipeline-groups")
+    groups = stored(ngram_join.component_table(docs.select("doc_id", "text"), words=NEAR_WORDS, share=NEAR_SHARE)
+                    .select("doc_id", "component_id").where("doc_id IS NOT NULL"), "pipeline-groups")
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).where("n > 1")
     gone = groups.where("doc_id <> component_id").select("doc_id").union(repeated.select("doc_id")).distinct()
     again = docs.join(repeated.where("doc_id = c").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
