@@ -1,6 +1,9 @@
 """Cases that the operators of the subpackage and the pipeline once did in part."""
 
+import random
+
 import corpus_pipeline
+from ledgerline.llm import lm_scoring
 
 
 def test_near_copies_by_five_words(spark):
@@ -13,3 +16,19 @@ def test_near_copies_by_five_words(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in got) == [1, 3, 4]
+
+
+def test_lm_learns_word_order(spark):
+    """Better than the base on held-out texts whose words follow one another
+    by a rule, which only the word before tells."""
+    rnd = random.Random(4)
+    follow = {f"v{k}": [f"v{rnd.randrange(40)}" for _ in range(2)] for k in range(40)}
+    texts = {}
+    for i in range(500):
+        w = ["v0"]
+        for _ in range(rnd.randint(5, 200)):
+            w.append(rnd.choice(follow[w[-1]]))
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    held = [r for r in lm_scoring.score_texts(df.repartition(3)).collect() if r["held_out"]]
+    assert sum(r["score"] for r in held) > 0.8 * sum(r["base_score"] for r in held)
