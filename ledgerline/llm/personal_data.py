@@ -13,7 +13,7 @@ driver gets.  There EM fits a two-class model (labelers independent given the
 class, a prior per kind), and a logistic classifier of votes and kind is
 trained on its posteriors.  The classifier is compiled into one expression;
 candidates of the wider kinds that it accepts are added to the base spans
-unless they overlap one.
+unless they lie inside one.  Spans that overlap are masked as one.
 
 Everything on the tables is DataFrame expressions: two passes over the texts
 and one small aggregation, no other shuffle.  Offsets are code points, from
@@ -232,7 +232,7 @@ def find_spans(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFra
         *names, F.sort_array(F.transform(F.filter("candidates", lambda c: (c["kind"] < len(BASE)) & (c["form"] == 1)),
                                          plain)).alias("base"),
         F.transform(F.filter("candidates", lambda c: (c["kind"] >= len(BASE)) & model.accepts(c)), plain).alias("_more"))
-    added = F.filter("_more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+    added = F.filter("_more", lambda c: ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["stop"] <= b["stop"])))
     return df.select(*names, "base", F.sort_array(F.concat("base", added)).alias("spans"))
 
 
@@ -243,17 +243,30 @@ def written(spans) -> Column:
         ":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def united(spans) -> Column:
+    """Spans in order, those that overlap as one of the first's kind."""
+    none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
+    longer = lambda s, x: F.struct(s["start"].alias("start"), s["kind"].alias("kind"),
+                                   F.greatest(s["stop"], x["stop"]).alias("stop"))
+    open_ = F.struct(none.alias("out"), F.lit(None).cast("struct<start:int,kind:int,stop:int>").alias("last"))
+    put = lambda s: F.when(s["last"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["last"])))
+    return F.aggregate(spans, open_, lambda s, x: F.when(
+        x["start"] < s["last"]["stop"], F.struct(s["out"].alias("out"), longer(s["last"], x).alias("last"))).otherwise(
+        F.struct(put(s).alias("out"), F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))
+                 .alias("last"))), put)
+
+
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
     """``found`` with each span in ``text`` replaced by its kind in angle
-    brackets; of spans that overlap, the first."""
+    brackets; spans that overlap are one, also in ``spans``."""
     kinds = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     t = F.col(text)
+    found = found.withColumn("spans", F.when(F.size("spans") > 1, united(F.col("spans"))).otherwise(F.col("spans")))
     # one span after another: what stands between, then the mark
-    done = F.aggregate("spans", state, lambda s, x: F.when(x["start"] >= s["at"], F.struct(
+    done = F.aggregate("spans", state, lambda s, x: F.struct(
         x["stop"].alias("at"), F.concat(s["out"], F.array(
             F.substr(t, s["at"] + 1, x["start"] - s["at"]), F.element_at(kinds, x["kind"] + 1))).alias("out")))
-        .otherwise(s))
     names = [c for c in found.columns if c != "_done"]
     return found.select(*names, F.when(F.size("spans") > 0, done).alias("_done")).select(*[
         F.when(F.col("_done").isNotNull(), F.concat(F.array_join("_done.out", ""), F.substr(t, F.col("_done.at") + 1)))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from ledgerline.llm import lm_scoring
+from ledgerline.llm import lm_scoring, personal_data
 
 
 def test_near_copies_by_five_words(spark):
@@ -32,3 +32,13 @@ def test_lm_learns_word_order(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     held = [r for r in lm_scoring.score_texts(df.repartition(3)).collect() if r["held_out"]]
     assert sum(r["score"] for r in held) > 0.8 * sum(r["base_score"] for r in held)
+
+
+def test_overlapping_spans_are_masked_whole(spark):
+    docs = spark.createDataFrame([(1, "at 192.168.1.0 4111 1111 1111 1111 now"), (2, "password=abcdefgh12345678IJKL.x@mail.example.com ok")],
+                                 "doc_id bigint, text string")
+    # a model that accepts every candidate of the wider kinds
+    model = personal_data.SpanModel([], 9.0, [0.0] * len(personal_data.KINDS), {})
+    got = {r["doc_id"]: r["text"] for r in personal_data.redact(personal_data.find_spans(docs, model)).collect()}
+    assert got[1] == "at <IP> now"
+    assert got[2] == "<SECRET> ok"
