@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from ledgerline.llm import lm_scoring, personal_data
+from ledgerline.llm import lm_scoring, ngram_join, personal_data
 
 
 def test_near_copies_by_five_words(spark):
@@ -42,3 +42,14 @@ def test_overlapping_spans_are_masked_whole(spark):
     got = {r["doc_id"]: r["text"] for r in personal_data.redact(personal_data.find_spans(docs, model)).collect()}
     assert got[1] == "at <IP> now"
     assert got[2] == "<SECRET> ok"
+
+
+def test_two_rows_of_an_id_hide_no_other_id(spark):
+    """The least and the greatest set of every key are of id 1, 2 lies between."""
+    words = [f"w{k}" for k in range(14)]
+    rows = [(1, " ".join(words[:12])), (2, " ".join(words[:13])), (1, " ".join(words))]
+    # the sequences that not all three have are the most common ones, so they come last in the prefixes
+    rows += [(10 + j, " ".join([*words[10:], *(f"z{j}v{k}" for k in range(20))])) for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.component_table(df).collect()}
+    assert got[2, 11] == 1 and got[1, 10] == 1 and got[1, 12] == 1 and got[10, 22] == 10
