@@ -68,7 +68,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentence_pieces.encode(docs, ("ids", "n_tokens"))
+    return sentence_pieces.encode(docs, ("ids", "n_tokens", "decoded_sha256"))
 
 
 STAGES = [

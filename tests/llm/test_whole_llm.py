@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from ledgerline.llm import lm_scoring, ngram_join, personal_data
+from ledgerline.llm import lm_scoring, ngram_join, personal_data, sentence_pieces
 
 
 def test_near_copies_by_five_words(spark):
@@ -53,3 +53,14 @@ def test_two_rows_of_an_id_hide_no_other_id(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.component_table(df).collect()}
     assert got[2, 11] == 1 and got[1, 10] == 1 and got[1, 12] == 1 and got[10, 22] == 10
+
+
+def test_pipeline_decodes(spark):
+    from hashlib import sha256
+    texts = {1: "Some text, and more of it.", 2: None, 3: "two  spaces é"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    own = sentence_pieces.load(sentence_pieces.tokenizer_path(sentence_pieces.MODEL))
+    got = {r["doc_id"]: r for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    plain = {r["doc_id"]: r["decoded"] for r in sentence_pieces.encode(docs, ("decoded",)).collect()}
+    assert plain[1] == texts[1] and own.end in got[1]["ids"]
+    assert all(got[i]["decoded_sha256"] == sha256(plain[i].encode()).hexdigest() for i in texts)
