@@ -64,3 +64,12 @@ def test_pipeline_decodes(spark):
     plain = {r["doc_id"]: r["decoded"] for r in sentence_pieces.encode(docs, ("decoded",)).collect()}
     assert plain[1] == texts[1] and own.end in got[1]["ids"]
     assert all(got[i]["decoded_sha256"] == sha256(plain[i].encode()).hexdigest() for i in texts)
+
+
+def test_lm_sample_holds_whole_texts(spark, monkeypatch):
+    sizes, fitted = [], lm_scoring.first_weights
+    monkeypatch.setattr(lm_scoring, "first_weights", lambda counts, rows, *more: (
+        sizes.extend(n for r in rows for n in r["sizes"]), fitted(counts, rows, *more))[1])
+    df = spark.createDataFrame([(i, "a b " * 2500) for i in range(3)], "doc_id bigint, text string")
+    lm_scoring.score_texts(df).collect()
+    assert sizes and set(sizes) == {5001}
