@@ -113,13 +113,16 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
 
 def pack(numbers: np.ndarray) -> bytes:
     """Small numbers in fewer bytes: 7 bits a byte, low part first."""
-    x = numbers.astype(np.uint32)
-    size = 1 + (x >= 1 << 7) + (x >= 1 << 14) + (x >= 1 << 21) + (x >= 1 << 28)
+    x = numbers.astype(np.uint64)
+    longest = max(1, -(-int(x.max()).bit_length() // 7)) if len(x) else 1
+    size = np.ones(len(x), np.int64)
+    for k in range(1, longest):
+        size += x >= np.uint64(1 << 7 * k)
     out = np.zeros(int(size.sum()), np.uint8)
     at = np.cumsum(size) - size
-    for k in range(5):
+    for k in range(longest):
         more = size > k
-        out[at[more] + k] = ((x[more] >> np.uint32(7 * k)) & np.uint32(127)) | ((size[more] > k + 1) << 7)
+        out[at[more] + k] = ((x[more] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | ((size[more] > k + 1) << 7).astype(np.uint8)
     return out.tobytes()
 
 

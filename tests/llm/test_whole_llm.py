@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from ledgerline.llm import lm_scoring, ngram_join, personal_data, sentence_pieces
 
@@ -73,3 +76,12 @@ def test_lm_sample_holds_whole_texts(spark, monkeypatch):
     df = spark.createDataFrame([(i, "a b " * 2500) for i in range(3)], "doc_id bigint, text string")
     lm_scoring.score_texts(df).collect()
     assert sizes and set(sizes) == {5001}
+
+
+def test_counts_beyond_four_bytes():
+    numbers = [0, 2**32 - 1, 2**32, 2**32 + 5, 2**40, 2**62, 7]
+    assert lm_scoring.unpack(lm_scoring.pack(np.array(numbers, np.int64))).tolist() == numbers
+    chunk = pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([lm_scoring.pack(np.array([2**32 - 1, 1]))], pa.binary())],
+                                       names=["chunk", "data"])
+    made = next(lm_scoring._add_chunks([chunk, chunk]))
+    assert lm_scoring.unpack(made.column("data")[0].as_py()).tolist() == [2**33 - 2, 2]
