@@ -18,12 +18,12 @@ lower = lambda t: re.sub("[A-Z]+", lambda m: m[0].lower(), t)
 words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
 
 
-def plain_components(rows, share=90):
+def plain_components(rows, share=90, size=3):
     """{id: (set size, component)} by comparing every pair that shares a member."""
     sets = {}
     for i, t in rows:
         w = words(t)
-        sets[i] = {tuple(w[k:k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k:k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
     parent, having = {i: i for i in sets}, defaultdict(list)
 
     def find(x):
@@ -265,7 +265,7 @@ def test_pipeline_stages_follow_the_operators(spark):
     assert ids(stages["toxicity"](spark, docs, SF)) == sorted(
         i for i, t in texts.items() if model.score(toxicity.text_features(t, toxicity.features_of)) < toxicity.THRESHOLD)
     assert ids(stages["ngram_jaccard_join"](spark, docs, SF)) == sorted(
-        i for i, (_, c) in plain_components(texts.items()).items() if i == c)
+        i for i, (_, c) in plain_components(texts.items(), corpus_pipeline.NEAR_SHARE, corpus_pipeline.NEAR_WORDS).items() if i == c)
     items = [decontaminate.words_of(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     windows = [b" " + b" ".join(w) + b" " for i in items for w in decontaminate.windows_of(i)]
     assert ids(stages["benchmark_decontamination"](spark, docs, SF)) == sorted(
