@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, lm_scoring, ngram_join, personal_data, quality_rules, sentence_pieces, token_counts, toxicity, url_filters
+from . import (chat_format, decontaminate, fingerprints, lexical_search, lm_scoring, ngram_join, periodic_runs, personal_data,
+               quality_rules, sentence_pieces, token_counts, toxicity, url_filters)
 
 QUERIES = {
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op11_fingerprints": fingerprints.op11_fingerprints,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLES = {
@@ -22,4 +26,5 @@ ORACLES = {
     "op8_chat_format": chat_format.SQL,
     "op2_quality_rules": quality_rules.SQL,
     "op7_url_filters": url_filters.SQL,
+    "op12_lexical_search": lexical_search.SQL,
 }
