@@ -43,10 +43,14 @@ def clean_text(text: Column | str) -> Column:
     lines and lines with at most 40 % letters/digits/spaces (unless shorter
     than 5).  (Collapsing runs of blank lines is implied by dropping blank
     lines, so it is not a separate pass.)"""
+    return F.array_join(clean_lines(text), "\n")
+
+
+def clean_lines(text: Column | str) -> Column:
+    """The lines of ``clean_text``; none for blank text."""
     t = F.regexp_replace(F.coalesce(_c(text), F.lit("")), X.CONTROL_CHARS, "")
     t = F.regexp_replace(t, r"[ \t]+", " ")
-    lines = F.transform(F.split(t, "\n"), strip)
-    return F.array_join(F.filter(lines, _keep_line), "\n")
+    return F.filter(F.transform(F.split(t, "\n"), strip), _keep_line)
 
 
 def raw_text_confidence(text: Column | str) -> Column:

@@ -11,7 +11,7 @@ from ..session import shared_dir
 from ..sources import tables as TB
 from . import fixtures as FX
 from . import oracle as O
-from .catalog import register
+from .catalog import ITEM_OUT, register
 
 _KEEP = f"conf > 40 AND {O.strip('text')} <> ''"
 
@@ -155,7 +155,7 @@ def _invoice_candidates(spark, sf_dir):
         candidate("tesseract_raw", T.raw_text_confidence(F.col("text"))))))
 
 
-@register("document_line_items", "WITH " + O.cte_invoices() + f""",
+_DOCUMENT_ITEMS = "WITH " + O.cte_invoices() + f""",
 pg0 AS (SELECT o_orderkey AS doc_id, unnest(w) AS text, unnest(generate_series(1, len(w))) AS page_no
         FROM (SELECT o_orderkey, string_split(txt, chr(10)) AS w FROM invoices)),
 pg1 AS (SELECT *, {O.clean_text('text')} AS clean FROM pg0),
@@ -165,7 +165,10 @@ docs AS (SELECT doc_id, coalesce(string_agg(CASE WHEN clean <> '' THEN clean END
            sum(CASE WHEN paddle_ok THEN 1 ELSE 0 END) AS paddle_pages, count(*) AS total_pages
          FROM pg GROUP BY doc_id),
 {O.cte_candidate_lines('docs', ['doc_id'], 'text', True)},
-{O.cte_items('cand')},
+{O.cte_items('cand')}"""
+
+
+@register("document_line_items", _DOCUMENT_ITEMS + """,
 per_doc AS (SELECT doc_id, count(*) AS items, round(sum(total_amount), 2) AS total_amount,
               sum(CASE WHEN escalation_flag THEN 1 ELSE 0 END) AS escalated FROM items GROUP BY doc_id)
 SELECT d.doc_id, d.total_pages, d.paddle_pages, coalesce(p.items, 0) AS items, p.total_amount,
@@ -188,3 +191,13 @@ def q_document_line_items(spark, sf_dir):
             .select("doc_id", F.col("total_pages").cast("bigint"), F.col("paddle_pages").cast("bigint"),
                     F.coalesce("items", F.lit(0)).cast("bigint").alias("items"), "total_amount",
                     F.coalesce("escalated", F.lit(0)).cast("bigint").alias("escalated")))
+
+
+@register("page_line_items", _DOCUMENT_ITEMS + "\nSELECT doc_id, " + ", ".join(ITEM_OUT) + " FROM items")
+def q_page_line_items(spark, sf_dir):
+    """The items of the same documents, extracted page by page: no document
+    becomes one row (O-30 + O-52)."""
+    from ..operators import extract as E
+    from ..operators import pages as PG
+    chosen = OC.select_ocr_candidate(_invoice_candidates(spark, sf_dir)).select("doc_id", "page_no", "text")
+    return E.flatten_items(PG.extract_page_items(chosen)).select("doc_id", *ITEM_OUT)
