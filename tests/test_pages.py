@@ -63,7 +63,9 @@ def test_one_document_is_spread_over_tasks(spark):
         F.when(F.col("id") % 100 == 99, F.col("id")).otherwise(F.lit(0)).alias("doc_id"), F.col("id").cast("int").alias("page_no"),
         F.when(F.col("id") == n - 1000, F.lit("Grand total 4")).otherwise(F.format_string(
             "Part name %d  12/CS  INR 4.00", F.col("id"))).alias("text"))
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
     try:
         states = P.page_states(pages)
         bounds = P.page_bounds(states, between=1, partitions=8)
@@ -80,6 +82,7 @@ def test_one_document_is_spread_over_tasks(spark):
         assert "Window" not in items._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
 
 
 def test_running_numbers_and_sums(spark):
