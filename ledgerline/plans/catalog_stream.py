@@ -15,6 +15,7 @@ from ..operators import resolve as R
 from ..session import shared_dir
 from ..sources.sinks import materialize
 from ..streaming import ingest as S
+from ..streaming import state as ST
 from . import fixtures as FX
 from . import oracle as O
 from .catalog import ITEM_OUT, _sql_items, register
@@ -150,6 +151,63 @@ def q_stream_dedupe_watermark(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@register("stream_dedupe_keyed", _OBS + "SELECT DISTINCT md5(content) AS file_hash FROM observations")
+def q_stream_dedupe_keyed(spark, sf_dir):
+    """Keyed state with expiry: each hash once within a day of its ingestion;
+    a hash enters the state once a task, however often it arrives."""
+    obs = _obs(spark, sf_dir)
+    src = _write_inputs(obs, "dedupe_keyed", spark)
+    stream = S.read_table_stream(spark, src, obs.schema, max_files=FILES_PER_BATCH).select("file_hash")
+    out = src.rsplit("/", 1)[0] + "/out"
+    q = (ST.dedupe_keyed(stream, ["file_hash"], 86_400).writeStream.format("parquet")
+         .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+#: Parts of the whole time in which the polls arrive.
+ARRIVALS = 8
+
+
+def _write_in_order(df, name, spark, ts, heartbeat):
+    """The rows as arriving files, one part of the time after the other, and
+    last a row that only moves the clock; with the length of a part, by which
+    rows may be out of order."""
+    path = shared_dir(spark, name) + "/in"
+    first, last = df.agg(F.unix_micros(F.min(ts)), F.unix_micros(F.max(ts))).first()
+    step = (last - first) // ARRIVALS + 1
+    for k in range(ARRIVALS):
+        part = df.where((F.unix_micros(ts) >= first + k * step) & (F.unix_micros(ts) < first + (k + 1) * step))
+        part.write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    df.limit(1).select(*heartbeat(F.timestamp_micros(F.lit(last + 10 * step)))).write.mode("append").parquet(path)
+    return path, step // 1_000_000 + 1
+
+
+@register("stream_stable_files", _OBS + """,
+o AS (SELECT *, lag(size) OVER (PARTITION BY path ORDER BY observed_at, event_id) AS prev,
+        min(observed_at) OVER (PARTITION BY path) AS first_seen FROM observations),
+q AS (SELECT path, first_seen,
+        arg_min(observed_at, (observed_at, event_id)) FILTER (WHERE size = prev AND size > 0 AND observed_at <= first_seen + INTERVAL 30 SECOND) AS ready_at,
+        arg_min(size, (observed_at, event_id)) FILTER (WHERE size = prev AND size > 0 AND observed_at <= first_seen + INTERVAL 30 SECOND) AS ready_size
+      FROM o GROUP BY path, first_seen)
+SELECT path, cast(first_seen AS varchar) AS first_seen, cast(ready_at AS varchar) AS ready_at, ready_size,
+  CASE WHEN ready_at IS NOT NULL THEN 'ready' ELSE 'timeout' END AS status FROM q""".replace("\n,", ",", 1))
+def q_stream_stable_files(spark, sf_dir):
+    """The polls of every path as a stream; event-time timers decide (O-33)."""
+    obs = FX.render_observations(spark, sf_dir).select("path", F.col("observed_at").cast("timestamp").alias("observed_at"),
+                                                       "size", "event_id")
+    beat = lambda at: [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "observed_at"
+                       else at.cast(f.dataType).alias(f.name) for f in obs.schema.fields]
+    src, delay = _write_in_order(obs, "polls", spark, "observed_at", beat)
+    stream = S.read_table_stream(spark, src, obs.schema, max_files=FILES_PER_BATCH)
+    out = src.rsplit("/", 1)[0] + "/out"
+    q = (ST.stable_files_stream(stream, timeout_s=30, delay=f"{delay} seconds").writeStream.format("parquet")
+         .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    return spark.read.parquet(out).select("path", F.col("first_seen").cast("string").alias("first_seen"),
+                                          F.col("ready_at").cast("string").alias("ready_at"), "ready_size", "status")
+
+
 def _run_extraction_stream(spark, sf_dir):
     inv = FX.render_invoices(spark, sf_dir).select(
         "o_orderkey", F.concat(F.lit("/in/"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("file_path"),
@@ -184,18 +242,26 @@ def q_file_state(spark, sf_dir):
     return st.select("file_path", "file_hash", "processed", "job_id")
 
 
+#: How long the chain knows a (path, content) pair without asking the history.
+REPEAT_TTL_S = 30 * 86_400
+
+
 def run_chain(spark, src, schema, out, checkpoint, answers):
     """Arriving files -> new by path and content -> items -> units resolved ->
     items, audit, job results and state, batch by batch (O-61..O-64)."""
     def per_batch(batch, batch_id):
         todo = materialize(S.new_files(batch, S.earlier_state(spark, out + "/state", batch_id)), "new-files")
+        # before the work starts: what it is interrupted at stays on record
+        S.write_batch(S.file_state_rows(todo, batch_id, processed=False), out, "discovered", batch_id)
         resolved = R.resolve_uom(E.extract_line_items(todo, ["job_id"], text="txt"), answers=answers)
         resolved = materialize(resolved, "resolved")
         jobs = J.job_result_rows(todo.select("job_id", F.col("txt").alias("text")), resolved)
         return {"items": resolved, "audit": R.lookup_audit(resolved), "jobs": jobs,
                 "state": S.file_state_rows(todo, batch_id)}
 
-    stream = S.read_table_stream(spark, src, schema, max_files=FILES_PER_BATCH)
+    # a file that arrives again as it was never reaches a batch; its state is forgotten after a month
+    stream = ST.dedupe_keyed(S.read_table_stream(spark, src, schema, max_files=FILES_PER_BATCH), ["file_path", "file_hash"],
+                             REPEAT_TTL_S)
     S.start_extraction(stream, out, checkpoint, per_batch).awaitTermination()
 
 
@@ -231,6 +297,17 @@ def q_stream_jobs_state(spark, sf_dir):
     return state.groupBy("file_hash").agg(F.count("*").alias("files"), F.every("processed").alias("processed"))
 
 
+@register("stream_jobs_discovered", "WITH " + O.cte_invoices() + """
+SELECT md5(txt) AS file_hash, true AS processed, 1::BIGINT AS discovered FROM invoices""")
+def q_stream_jobs_discovered(spark, sf_dir):
+    """Every discovered file once, and whether its work has ended (O-64)."""
+    out = _chain(spark, sf_dir)
+    discovered = spark.read.parquet(out + "/discovered")
+    state = S.current_file_state(spark.read.parquet(out + "/state"), discovered)
+    seen = discovered.groupBy("file_path").agg(F.count("*").alias("discovered"))
+    return state.join(seen, "file_path", "left").select("file_hash", "processed", "discovered")
+
+
 @register("stream_jobs_results", _JOB_COUNTS_SQL)
 def q_stream_jobs_results(spark, sf_dir):
     """Job results after the chain."""

@@ -118,11 +118,13 @@ def dedupe_stream(stream: DataFrame, key: str = "file_hash", within: str | None
 
 
 def file_state_rows(batch: DataFrame, batch_id: int, processed: bool = True) -> DataFrame:
-    """Bookkeeping rows for the files of a micro-batch (O-64)."""
+    """Bookkeeping rows for the files of a micro-batch (O-64): discovered
+    ones (``processed=False``), written before the work, have no end yet."""
     return batch.select(
         F.col("file_path"), F.col("file_hash"), F.lit(processed).alias("processed"),
         F.concat(F.lit("job_"), F.md5(F.concat_ws("\n", "file_path", "file_hash"))).alias("job_id"),
-        F.col("modificationTime").alias("discovered_at"), F.current_timestamp().alias("processed_at"),
+        F.col("modificationTime").alias("discovered_at"),
+        (F.current_timestamp() if processed else F.lit(None).cast("timestamp")).alias("processed_at"),
         F.lit(batch_id).cast("bigint").alias("batch_id"))
 
 
@@ -168,10 +170,19 @@ def earlier_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
         raise
 
 
-def current_file_state(state: DataFrame) -> DataFrame:
-    """Latest bookkeeping row per file across batches."""
+def current_file_state(state: DataFrame, discovered: DataFrame | None = None) -> DataFrame:
+    """Latest bookkeeping row per file across batches; with the ``discovered``
+    rows also the files that were seen and whose batch has not ended, so a
+    crash leaves a trace of what it interrupted."""
+    if discovered is not None:
+        state = discovered.unionByName(state)
     return (state.groupBy("file_path")
-            .agg(F.max_by(F.struct(*STATE_COLUMNS), "batch_id").alias("s")).select("s.*"))
+            .agg(F.max_by(F.struct(*STATE_COLUMNS), F.struct("batch_id", "processed")).alias("s")).select("s.*"))
+
+
+def write_batch(df: DataFrame, out: str, name: str, batch_id: int) -> None:
+    """One table of a micro-batch; a replay writes the same files again."""
+    df.drop("batch_id").write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
 
 
 def start_extraction(stream: DataFrame, out: str, checkpoint: str,
@@ -183,7 +194,7 @@ def start_extraction(stream: DataFrame, out: str, checkpoint: str,
     again; tables are written in the order returned, bookkeeping last."""
     def each(batch: DataFrame, batch_id: int) -> None:
         for name, df in transform(materialize(batch, "batch"), batch_id).items():
-            df.drop("batch_id").write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+            write_batch(df, out, name, batch_id)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
