@@ -19,6 +19,7 @@ from ..functions import fixed as X
 from ..functions import lookup as LK
 from ..sources.sinks import materialize
 from .metrics import observed
+from .substrings import substring_pairs
 
 MAX_INLINE_KEYWORDS = 2000
 
@@ -66,40 +67,31 @@ def inline_rules(rules) -> list[tuple] | None:
     return sorted(rules, key=lambda r: [null_first(r[0]), *map(null_first, r[2:])])
 
 
-def catalog_match(items: DataFrame, rules=None, description: str = "item_description",
-                  keys: list[str] | None = None) -> DataFrame:
+def catalog_match(items: DataFrame, rules=None, description: str = "item_description") -> DataFrame:
     """Adds ``catalog_result`` (lookup-result struct) and ``catalog_tag``
     (O-18), inlined or joined by the catalogue's size."""
     rules = rules if rules is not None else X.DEFAULT_RULES
     rl = inline_rules(rules)
     if rl is None:
         table = items.sparkSession.createDataFrame(rules, RULE_SCHEMA) if isinstance(rules, list) else rules
-        return catalog_match_join(items, table, keys or ["job_id", "line_no"], description)
+        return catalog_match_join(items, table, description)
     d = F.col(description)
     return items.select("*", LK.rules_case(d, rl).alias("catalog_result"),
                         LK.rule_tag_case(d, rl).alias("catalog_tag"))
 
 
-def catalog_match_join(items: DataFrame, rules: DataFrame, keys: list[str],
-                       description: str = "item_description") -> DataFrame:
-    """Same answer as the inlined catalogue for catalogues of any size: an
-    exact substring test as an equi-join.  Each distinct description emits
-    its substrings of each keyword length in the catalogue; these are
-    equi-joined to the keywords, and the least rule wins per description
-    (partial aggregation before the shuffle).  No pairs are enumerated, and
-    repeated descriptions are matched once.  ``keys`` is kept for callers;
-    items join back on their description."""
+def catalog_match_join(items: DataFrame, rules: DataFrame, description: str = "item_description") -> DataFrame:
+    """Same answer as the inlined catalogue for catalogues of any size: the
+    distinct descriptions meet the keywords on anchored q-grams
+    (``substrings``), and the least rule wins per description (partial
+    aggregation before the shuffle).  No pairs are enumerated, and repeated
+    descriptions are matched once."""
     rule = F.struct(*RULE_FIELDS)
     kw = rules.select(F.explode("keywords").alias("kw"), rule.alias("rule")).select(
-        F.lower("kw").alias("kw"), "rule").where(F.length("kw") > 0).groupBy("kw").agg(F.min("rule").alias("rule"))
-    lengths = sorted(r[0] for r in kw.select(F.length("kw")).distinct().collect())  # bounded: distinct lengths
+        F.lower("kw").alias("word"), "rule").where(F.length("word") > 0).groupBy("word").agg(F.min("rule").alias("rule"))
     d = F.lower(F.coalesce(F.col(description), F.lit("")))
-    grams = items.select(d.alias("_d")).distinct()
-    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("_d"))
-    grams = grams.select("_d", F.explode(sizes).alias("_n"))
-    grams = grams.select("_d", "_n", F.explode(F.sequence(F.lit(1), F.length("_d") - F.col("_n") + 1)).alias("_i"))
-    grams = grams.select("_d", F.substring("_d", F.col("_i"), F.col("_n")).alias("kw")).distinct()
-    hit = grams.join(kw, "kw").groupBy("_d").agg(F.min("rule").alias("_rule"))
+    pairs = substring_pairs(items.select(d.alias("text")), kw)
+    hit = pairs.join(kw, "word").groupBy(F.col("text").alias("_d")).agg(F.min("rule").alias("_rule"))
     r = F.col("_rule")
     res = F.when(r.isNotNull(), LK.result(True, r["uom"], r["pack_quantity"].cast("bigint"),
                                           r["confidence"].cast("double"), X.SOURCE_ONLINE, r["reasoning"])
@@ -133,7 +125,7 @@ def resolve_uom(items: DataFrame, keys: list[str] | None = None, rules=None,
     s1 = df.select("*", gate.alias("_try"), terms.alias("_terms"))
     rl = inline_rules(rules if rules is not None else X.DEFAULT_RULES)
     if rl is None:
-        s1 = catalog_match(s1, rules, keys=keys).withColumnRenamed("catalog_result", "_by_rule").drop("catalog_tag")
+        s1 = catalog_match(s1, rules).withColumnRenamed("catalog_result", "_by_rule").drop("catalog_tag")
     by_rule = F.col("_by_rule") if rl is None else LK.rules_case(F.col("item_description"), rl)
     no_terms = LK.result(False, conf=0.0, source=X.SOURCE_ONLINE, error=X.MSG_NO_TERMS)
     online_res = (F.when(F.col("_try") & F.lit(online),

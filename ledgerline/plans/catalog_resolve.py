@@ -177,7 +177,30 @@ def q_catalog_rule_join_large(spark, sf_dir):
         [tuple(r) for r in X.DEFAULT_RULES],
         "priority int, keywords array<string>, uom string, pack_quantity int, confidence double, "
         "reasoning string, tag string")
-    return _catalog_out(R.catalog_match_join(invoice_items(spark, sf_dir), rules, ["o_orderkey", "line_no"]))
+    return _catalog_out(R.catalog_match_join(invoice_items(spark, sf_dir), rules))
+
+
+#: A catalogue of one rule a part: whole names, names with a suffix, part numbers, beginnings shorter than a q-gram.
+_PART_WORD = ("case p_partkey % 5 when 0 then upper(p_name) when 1 then concat(p_name, ' sheet') when 2 then concat(p_name, ' carton') "
+              "when 3 then lpad(cast(p_partkey as {s}), 5, '0') else substring(p_name, 1, cast(2 + p_partkey % 3 as int)) end")
+
+
+@register("catalog_part_join", _sql_items(True).rstrip() + f""",
+rules AS (SELECT lower({FX.sql(_PART_WORD, 'duckdb')}) AS word, min((p_partkey, p_size)) AS rule FROM part GROUP BY 1),
+texts AS (SELECT DISTINCT lower(coalesce(item_description, '')) AS text FROM items),
+hits AS (SELECT text, min(rule) AS rule FROM texts JOIN rules ON contains(text, word) GROUP BY text)
+SELECT o_orderkey, line_no, h.text IS NOT NULL AS matched, CASE WHEN h.text IS NOT NULL THEN 'PK' END AS uom,
+  h.rule[2]::BIGINT AS pack_quantity, CASE WHEN h.text IS NULL THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence,
+  CASE WHEN h.text IS NOT NULL THEN concat('part ', cast(h.rule[1] AS varchar)) END AS tag
+FROM items LEFT JOIN hits h ON h.text = lower(coalesce(item_description, ''))""")
+def q_catalog_part_join(spark, sf_dir):
+    """Every description against a catalogue that grows with the parts."""
+    from .catalog import invoice_items
+    rules = FX.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("int").alias("priority"), F.array(F.expr(FX.sql(_PART_WORD))).alias("keywords"),
+        F.lit("PK").alias("uom"), F.col("p_size").cast("int").alias("pack_quantity"), F.lit(0.7).alias("confidence"),
+        F.lit("part catalogue").alias("reasoning"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("tag"))
+    return _catalog_out(R.catalog_match_join(invoice_items(spark, sf_dir), rules))
 
 
 @register("validate_llm_answers", "WITH " + O.cte_answers() + ",\n" + _cte_answers_checked() + """

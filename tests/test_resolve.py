@@ -63,7 +63,7 @@ def test_large_catalogue_path_agrees(items, spark):
                                   "priority int, keywords array<string>, uom string, pack_quantity int, "
                                   "confidence double, reasoning string, tag string")
     a = {r.line_no: r.catalog_tag for r in R.catalog_match(items).collect()}
-    b = {r.line_no: r.catalog_tag for r in R.catalog_match_join(items, rules, ["job_id", "line_no"]).collect()}
+    b = {r.line_no: r.catalog_tag for r in R.catalog_match_join(items, rules).collect()}
     assert a == b == {0: "hardware", 1: "paper", 2: "packaging", 3: None}
 
 

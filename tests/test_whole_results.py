@@ -44,7 +44,7 @@ def test_inlined_and_joined_catalogue_agree(spark):
     items = items_of(spark, ["box of gloves", "glove box", "pair gloves", "nothing", "BOX", None, "glove box"])
     rules = [(2, ["glove"], "PR", 2, 0.8, "g", "b"), (2, ["box"], "BX", 10, 0.7, "x", "a"), (1, ["pair"], "PR", 1, 0.9, "p", "c")]
     a = R.catalog_match(items, rules)
-    b = R.catalog_match_join(items, spark.createDataFrame(rules, R.RULE_SCHEMA), ["job_id", "line_no"])
+    b = R.catalog_match_join(items, spark.createDataFrame(rules, R.RULE_SCHEMA))
     cols = ["line_no", "catalog_result", "catalog_tag"]
     assert sorted(map(str, a.select(cols).collect())) == sorted(map(str, b.select(cols).collect()))
 
