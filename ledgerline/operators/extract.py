@@ -17,6 +17,7 @@ from ..functions import fixed as X
 from ..functions import items as I
 from ..functions import text as T
 from .metrics import observed
+from .positions import positions
 
 ITEM_COLUMNS = [
     "supplier_name", "item_description", "manufacturer_part_number", "original_uom",
@@ -118,12 +119,10 @@ def extract_line_items(docs: DataFrame, keys: list[str], text: str = "text",
 
 
 def number_items(items: DataFrame, keys: list[str]) -> DataFrame:
-    """1-based item counter per document in line order (O-34).  A window
-    partitioned by document: shuffles by the document keys, each partition
-    holding one document's items."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    return items.withColumn("item_no", F.row_number().over(w))
+    """1-based item counter per document in line order (O-34), by two-level
+    ranks: the items of a document of any length are numbered by many tasks."""
+    made = positions(items, keys, [F.col("line_no")], "item_no", name="item-numbers")
+    return made.withColumn("item_no", (F.col("item_no") + 1).cast("int"))
 
 
 def flatten_items(items: DataFrame) -> DataFrame:

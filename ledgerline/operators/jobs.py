@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.items import strip
+from .positions import positions
 
 OPTIONS_SCHEMA = "enable_agentic_lookup boolean, supplier_name string, batch_id string"
 
@@ -45,6 +46,78 @@ def list_jobs(jobs: DataFrame, status: str | None = None, page: int = 1,
     return rows, total
 
 
+def page_after(jobs: DataFrame, after: tuple | None = None, status: str | None = None,
+               page_size: int = X.PAGE_SIZE_DEFAULT) -> DataFrame:
+    """The page that follows the job ``after`` = (created_at, job_id), in the
+    order of ``list_jobs`` (O-35); the first page without it.  Every task
+    keeps ``page_size`` rows, however far the page is from the first."""
+    sel = filter_jobs_by_status(jobs, status)
+    if after is not None:
+        at, job = F.lit(after[0]), F.lit(after[1])
+        sel = sel.where((F.col("created_at") <= at) & ((F.col("created_at") < at) | (F.col("job_id") > job)))
+    return sel.orderBy(F.col("created_at").desc(), F.col("job_id")).limit(page_size)
+
+
+#: Ranges that one look at the counts distinguishes, and the rows that a jump may skip by reading them.
+JUMP_RANGES, JUMP_ROWS = 256, 4096
+
+
+def jump_to_page(jobs: DataFrame, page: int, status: str | None = None, page_size: int = X.PAGE_SIZE_DEFAULT,
+                 skip_rows: int = JUMP_ROWS) -> DataFrame:
+    """Page number ``page`` without reading the pages before it (O-35): counts
+    by ranges of ``created_at``, newest first, tell in which range the page
+    begins; that range is divided again until it holds ``skip_rows`` or one
+    time alone, and a crowded time is divided by the beginnings of its job
+    ids.  Only rows from there on are sorted, and no task keeps more than
+    ``skip_rows`` and a page of them.  ``created_at`` is a date or timestamp;
+    rows without it come last, as in ``list_jobs``."""
+    if page < 1:
+        raise ValueError("page >= 1")
+    sel = filter_jobs_by_status(jobs, status)
+    left = (page - 1) * page_size
+    time = F.unix_micros(F.col("created_at").cast("timestamp"))
+    low, high, n = sel.agg(F.min(time), F.max(time), F.count("created_at")).first()
+    order = [F.col("created_at").desc(), F.col("job_id")]
+    if left >= n:                                   # among the rows without a time
+        rest, start, undated = sel.where(F.col("created_at").isNull()), "", True
+        left -= n
+        n = rest.count()
+        if left >= n:
+            return sel.limit(0)
+    else:
+        undated = False
+        while n > skip_rows and low < high:
+            step = (high - low) // JUMP_RANGES + 1
+            bucket = F.floor((F.lit(high) - time) / F.lit(step))
+            counts = sel.where((time >= low) & (time <= high)).groupBy(bucket.alias("b")).count().orderBy("b").collect()
+            for r in counts:                        # JUMP_RANGES at most
+                if left < r["count"]:
+                    break
+                left -= r["count"]
+            n, high = r["count"], high - r["b"] * step
+            low = max(low, high - step + 1)
+        rest = sel.where(time <= high)
+        start = ""
+    if n > skip_rows:                               # one time
+        same = rest if undated else rest.where(time == high)
+        while n > skip_rows:
+            begun = F.substring("job_id", 1, len(start) + 1)
+            counts = same.where(F.col("job_id").startswith(start)).groupBy(begun.alias("b")).count().orderBy("b").collect()
+            for r in counts:                        # one for each next character
+                if left < r["count"]:
+                    break
+                left -= r["count"]
+            if r["b"] == start:
+                break
+            n, start = r["count"], r["b"]
+        if start:
+            here = F.lit(True) if undated else time == high
+            rest = rest.where(~here | (F.col("job_id") >= F.lit(start)))
+    if not undated and sel is not rest:
+        rest = rest.unionByName(sel.where(F.col("created_at").isNull()))
+    return rest.orderBy(*order).offset(left).limit(page_size)
+
+
 def filter_line_items(items: DataFrame, job_id: str | None = None, escalation_only: bool = False,
                       min_confidence: float = 0.0) -> DataFrame:
     """Items of a job (all jobs when ``job_id`` is None); optionally only
@@ -185,14 +258,31 @@ def zip_jobs_paths(ids: DataFrame, paths: DataFrame, group: str, id_col: str = "
                    path_col: str = "file_path", id_order: str | None = None,
                    path_order: str | None = None) -> DataFrame:
     """Pair the i-th id with the i-th path within each group, truncating to
-    the shorter list (O-20).  Positions come from a window per group; the
-    pairs are an equi-join on (group, position)."""
-    from pyspark.sql import Window
-    wi = Window.partitionBy(group).orderBy(id_order or id_col)
-    wp = Window.partitionBy(group).orderBy(path_order or path_col)
-    a = ids.select(group, id_col, F.row_number().over(wi).alias("pos"))
-    b = paths.select(group, path_col, F.row_number().over(wp).alias("pos"))
-    return a.join(b, [group, "pos"], "inner")
+    the shorter list (O-20).  ``id_order`` and ``path_order`` name the places
+    in the request; without them ids and paths are sorted.  Places are
+    two-level ranks, so one request of any size is numbered by many tasks; the
+    pairs are an equi-join on (group, place), of which no two rows share one."""
+    def placed(df: DataFrame, value: str, order: str | None) -> DataFrame:
+        rows = df.select(F.col(group), F.col(value), F.col(order or value).alias("_order"))
+        return positions(rows, [group], [F.col("_order"), F.col(value)], "pos", name="request-places").select(
+            group, value, (F.col("pos") + 1).cast("int").alias("pos"))
+
+    return placed(ids, id_col, id_order).join(placed(paths, path_col, path_order), [group, "pos"], "inner")
+
+
+def bulk_summary(pairs: DataFrame, paths: DataFrame, results: DataFrame, group: str, key: str = "job_id") -> DataFrame:
+    """Totals of bulk requests: every path counts as a file, also one that
+    got no id; what did not complete failed; rates as in ``batch_summary``."""
+    files = paths.groupBy(group).agg(F.count(F.lit(1)).alias("total_files"))
+    ok = F.col("status") == "completed"
+    done = pairs.select(group, key).join(results.select(key, "status", "total_line_items"), key).groupBy(group).agg(
+        F.count_if(ok).alias("_n"), F.sum(F.when(ok, F.col("total_line_items"))).alias("_items"))
+    made = files.join(done, group, "left").select(group, "total_files", F.coalesce("_n", F.lit(0)).alias("successful_files"),
+                                                  F.coalesce("_items", F.lit(0)).alias("total_line_items"))
+    return made.select(
+        group, "total_files", "successful_files", (F.col("total_files") - F.col("successful_files")).alias("failed_files"),
+        "total_line_items", F.coalesce(F.try_divide("successful_files", "total_files"), F.lit(0.0)).alias("success_rate"),
+        F.coalesce(F.try_divide("total_line_items", "successful_files"), F.lit(0.0)).alias("avg_items_per_file"))
 
 
 def project_item(items: DataFrame) -> DataFrame:

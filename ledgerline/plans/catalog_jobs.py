@@ -120,6 +120,58 @@ def q_zip_jobs_paths(spark, sf_dir):
     return J.zip_jobs_paths(ids, jobs.select("grp", "file_path"), "grp").select("grp", "pos", "job_id", "file_path")
 
 
+#: A third of all jobs are one upload.
+_BULK_GROUP = "case when o_orderkey % 3 = 0 then 0 else o_orderkey % 500 end"
+
+
+@register("bulk_summary", _RESULTS.rstrip() + f""",
+paths AS (SELECT {_BULK_GROUP} AS grp, o_orderkey, job_id, status, file_path FROM jobs),
+a AS (SELECT grp, job_id, row_number() OVER (PARTITION BY grp ORDER BY o_orderkey) AS pos FROM paths WHERE o_orderkey % 11 <> 3),
+b AS (SELECT grp, file_path, row_number() OVER (PARTITION BY grp ORDER BY o_orderkey DESC) AS pos FROM paths),
+p AS (SELECT grp, pos, job_id, file_path FROM a JOIN b USING (grp, pos)),
+ok AS (SELECT grp, count(*) AS n, sum(total_line_items) AS items, max(pos) AS last_pos, min(file_path) AS least_path
+       FROM p JOIN results USING (job_id) WHERE status = 'completed' GROUP BY grp),
+tot AS (SELECT grp, count(*) AS total_files FROM paths GROUP BY grp)
+SELECT grp, total_files, coalesce(n, 0) AS successful_files, total_files - coalesce(n, 0) AS failed_files,
+  coalesce(items, 0) AS total_line_items, round(coalesce(n, 0) / total_files, 9) AS success_rate,
+  round(coalesce(items / n, 0.0), 9) AS avg_items_per_file, last_pos, least_path
+FROM tot LEFT JOIN ok USING (grp)""")
+def q_bulk_summary(spark, sf_dir):
+    """Bulk requests with fewer ids than paths, in the order of the request;
+    their totals count every path."""
+    jobs = _jobs(spark, sf_dir).withColumn("grp", F.expr(_BULK_GROUP)).withColumn("_back", -F.col("o_orderkey"))
+    results = SK.materialize(_results(spark, sf_dir), "results")
+    pairs = SK.materialize(J.zip_jobs_paths(jobs.where("o_orderkey % 11 <> 3"), jobs, "grp", id_order="o_orderkey",
+                                            path_order="_back"), "pairs")
+    done = pairs.join(results.where("status = 'completed'"), "job_id").groupBy("grp").agg(
+        F.max("pos").cast("bigint").alias("last_pos"), F.min("file_path").alias("least_path"))
+    s = J.bulk_summary(pairs, jobs, results, "grp").join(done, "grp", "left")
+    return s.select("grp", "total_files", "successful_files", "failed_files", "total_line_items",
+                    F.round("success_rate", 9).alias("success_rate"), F.round("avg_items_per_file", 9).alias("avg_items_per_file"),
+                    "last_pos", "least_path")
+
+
+@register("list_jobs_keyset", "WITH " + O.cte_jobs() + """,
+p AS (SELECT job_id, cast(created_at AS varchar) AS created_at, row_number() OVER (ORDER BY created_at DESC, job_id) - 1 AS place
+      FROM jobs WHERE status = 'processing')
+SELECT job_id, created_at, cast(floor(place / 50) + 1 AS BIGINT) AS page FROM p WHERE floor(place / 50) + 1 IN (1, 2, 3, 60)""")
+def q_list_jobs_keyset(spark, sf_dir):
+    """Three pages, each by the last job of the one before, and a jump to a
+    later one."""
+    jobs = SK.materialize(_jobs(spark, sf_dir).select("job_id", "created_at", "status"), "jobs")
+    out, after = [], None
+    for page in (1, 2, 3):
+        rows = J.page_after(jobs, after, "processing", 50)
+        out.append(rows.withColumn("page", F.lit(page).cast("bigint")))
+        last = rows.tail(1)
+        after = (last[0]["created_at"], last[0]["job_id"]) if last else after
+    out.append(J.jump_to_page(jobs, 60, "processing", 50, skip_rows=100).withColumn("page", F.lit(60).cast("bigint")))
+    made = out[0]
+    for rows in out[1:]:
+        made = made.unionByName(rows)
+    return made.select("job_id", F.col("created_at").cast("string").alias("created_at"), "page")
+
+
 @register("ocr_summary", "WITH " + O.cte_pages() + """
 SELECT doc_id, count(*) AS total_pages, sum(CASE WHEN coalesce(text, '') <> '' THEN 1 ELSE 0 END) AS successful_pages,
   round(avg(confidence), 9) AS avg_confidence, array_to_string(list_sort(list_distinct(list(method))), ',') AS methods_used,
