@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as E
 from ..operators import jobs as J
+from ..operators import partials as PT
 from ..operators import resolve as R
 from ..session import shared_dir
 from ..sources.sinks import materialize
@@ -19,6 +20,7 @@ from ..streaming import state as ST
 from . import fixtures as FX
 from . import oracle as O
 from .catalog import ITEM_OUT, _sql_items, register
+from .catalog_jobs import _BATCHED, _JOB_ITEMS
 from .catalog_resolve import _APPLIED_SQL, _sql_resolved, applied_columns
 
 _JOB_COUNTS_SQL = _sql_resolved() + """
@@ -316,6 +318,66 @@ def q_stream_jobs_results(spark, sf_dir):
                       F.col("escalation_count").cast("bigint").alias("escalation_count"))
 
 
+_SUMMARY_SQL = _JOB_ITEMS.rstrip() + """,
+agg AS (SELECT job_id, count(*) AS n, sum(CASE WHEN coalesce(original_uom, '') <> '' THEN 1 ELSE 0 END) AS uom,
+  sum(CASE WHEN coalesce(manufacturer_part_number, '') <> '' THEN 1 ELSE 0 END) AS mpn,
+  sum(CASE WHEN escalation_flag THEN 1 ELSE 0 END) AS esc, avg(confidence_score) AS a FROM it GROUP BY job_id)
+SELECT j.job_id, coalesce(n, 0) AS total_line_items, coalesce(uom, 0) AS items_with_uom, coalesce(mpn, 0) AS items_with_mpn,
+  coalesce(esc, 0) AS items_requiring_escalation, round(coalesce(a, 0.0), 9) AS avg_confidence,
+  coalesce(json_extract(options, '$.enable_agentic_lookup')::BOOLEAN, false) AS agentic_lookup_used
+FROM jobs j LEFT JOIN agg USING (job_id)"""
+
+
+def _stream_parts(spark, rows, name, make):
+    """States written batch by batch as ``rows`` arrive."""
+    src = _write_inputs(rows, name, spark)
+    out = src.rsplit("/", 1)[0] + "/out"
+    stream = S.read_table_stream(spark, src, rows.schema, max_files=2)
+    S.start_extraction(stream, out, out + "_ckpt", lambda batch, batch_id: {"parts": make(batch)}).awaitTermination()
+    return spark.read.parquet(out + "/parts")
+
+
+@register("stream_extraction_summary", _SUMMARY_SQL)
+def q_stream_extraction_summary(spark, sf_dir):
+    """Per-job summaries merged from the states of each batch of items (the
+    lines of an invoice arrive in several batches)."""
+    from .catalog import line_items_table
+    items = line_items_table(spark, sf_dir).select("job_id", "line_no", "original_uom", "manufacturer_part_number",
+                                                   "escalation_flag", "confidence_score")
+    parts = _stream_parts(spark, items.repartition(8, "line_no"), "summary", PT.summary_parts)
+    parts = PT.compact(parts, ["job_id"], PT.SUMMARY_STATE, before=2)
+    s = PT.merged_summary(parts, FX.render_jobs(spark, sf_dir))
+    return s.withColumn("avg_confidence", F.round("avg_confidence", 9))
+
+
+@register("stream_ocr_summary", "WITH " + O.cte_pages() + """
+SELECT doc_id, count(*) AS total_pages, sum(CASE WHEN coalesce(text, '') <> '' THEN 1 ELSE 0 END) AS successful_pages,
+  round(avg(confidence), 9) AS avg_confidence, array_to_string(list_sort(list_distinct(list(method))), ',') AS methods_used,
+  arg_min(method, page_no) AS ocr_method
+FROM pages_r GROUP BY doc_id""")
+def q_stream_ocr_summary(spark, sf_dir):
+    """Per-document OCR summaries from pages that arrive apart."""
+    pages = FX.render_pages(spark, sf_dir).select("doc_id", "page_no", "text", "method", "confidence")
+    parts = _stream_parts(spark, pages.repartition(8, "page_no"), "ocr-summary", PT.ocr_parts)
+    s = PT.merged_ocr_summary(parts)
+    return s.select("doc_id", "total_pages", "successful_pages", F.round("avg_confidence", 9).alias("avg_confidence"),
+                    F.array_join("methods_used", ",").alias("methods_used"), "ocr_method")
+
+
+@register("stream_batch_summary", _BATCHED + """
+SELECT batch_id, count(*) AS total_files, sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END)::BIGINT AS successful_files,
+  sum(CASE WHEN status = 'completed' THEN 0 ELSE 1 END)::BIGINT AS failed_files,
+  sum(CASE WHEN status = 'completed' THEN total_line_items ELSE 0 END)::BIGINT AS total_line_items
+FROM batched GROUP BY batch_id""")
+def q_stream_batch_summary(spark, sf_dir):
+    """Batch totals from job results as they come in."""
+    from .catalog_jobs import _batched
+    results = _batched(spark, sf_dir).withColumnRenamed("batch_id", "upload")
+    parts = _stream_parts(spark, results.repartition(8), "batch-summary", lambda b: PT.batch_parts(b, ["upload"]))
+    s = PT.merged_batch_summary(parts, ["upload"])
+    return s.select(F.col("upload").alias("batch_id"), "total_files", "successful_files", "failed_files", "total_line_items")
+
+
 @register("stream_files", _USER_FILES + "SELECT DISTINCT strlen(body) AS length, md5(body) AS file_hash FROM files")
 def q_stream_files(spark, sf_dir):
     """Binary-file stream (O-61 + O-59 + O-62): files listed as they arrive,
