@@ -192,20 +192,39 @@ def insert_jobs(base: DataFrame, new: DataFrame, key: str = "job_id") -> DataFra
     return base.unionByName(one_per_key(new, [key]).join(base.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def job_result_rows(docs: DataFrame, items: DataFrame, key: str = "job_id", text: str = "text") -> DataFrame:
+def job_result_rows(docs: DataFrame, items: DataFrame, key: str = "job_id", text: str = "text",
+                    ocr: DataFrame | None = None, started: str | None = None, completed: str | None = None) -> DataFrame:
     """One result per document, success or failure (O-08): blank text fails
     with the no-text message; counts come from a partial aggregate of the
-    items, joined back on the key (left, so failed documents remain)."""
+    items, joined back on the key (left, so failed documents remain).
+
+    With ``ocr`` (``ocr_summary`` by the same key) completed rows also have
+    ``total_pages``, ``ocr_method`` (of the first page) and ``ocr_confidence``
+    (mean); with ``started``, a timestamp column of ``docs``, also
+    ``processing_time`` in seconds and ``completed_at`` (the column
+    ``completed``, else now) — the columns that ``upsert_jobs`` assigns."""
     counts = items.groupBy(key).agg(F.count(F.lit(1)).alias("total_line_items"),
                                     F.count_if("escalation_flag").alias("escalation_count"))
     blank = F.coalesce(strip(F.col(text)), F.lit("")) == ""
-    d = docs.select(key, blank.alias("_blank"))
-    return (d.join(counts, key, "left").select(
+    times = [F.col(started).cast("timestamp").alias("_from"),
+             (F.col(completed) if completed else F.current_timestamp()).cast("timestamp").alias("_to")] if started else []
+    d = docs.select(key, blank.alias("_blank"), *times).join(counts, key, "left")
+    done = lambda c: F.when(~F.col("_blank"), c)
+    extra = []
+    if ocr is not None:
+        d = d.join(ocr.select(key, F.col("total_pages").alias("_pages"), F.col("ocr_method").alias("_method"),
+                              F.col("avg_confidence").alias("_mean")), key, "left")
+        extra += [done(F.coalesce("_pages", F.lit(0))).alias("total_pages"), done(F.col("_method")).alias("ocr_method"),
+                  done(F.coalesce("_mean", F.lit(0.0))).alias("ocr_confidence")]
+    if started:
+        extra += [done((F.unix_micros("_to") - F.unix_micros("_from")) / 1e6).alias("processing_time"),
+                  done(F.col("_to")).alias("completed_at")]
+    return d.select(
         key,
         F.when(F.col("_blank"), F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
         F.when(F.col("_blank"), F.lit(X.MSG_NO_TEXT)).alias("error_message"),
         F.when(F.col("_blank"), F.lit(0)).otherwise(F.coalesce("total_line_items", F.lit(0))).alias("total_line_items"),
-        F.when(F.col("_blank"), F.lit(0)).otherwise(F.coalesce("escalation_count", F.lit(0))).alias("escalation_count")))
+        F.when(F.col("_blank"), F.lit(0)).otherwise(F.coalesce("escalation_count", F.lit(0))).alias("escalation_count"), *extra)
 
 
 def ocr_summary(pages: DataFrame, key: str = "doc_id") -> DataFrame:

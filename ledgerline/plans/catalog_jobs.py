@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..operators import jobs as J
+from ..operators import rescue as RS
+from ..operators import variant as VR
 from ..session import shared_dir
 from ..sources import sinks as SK
 from . import fixtures as FX
 from . import oracle as O
-from .catalog import _sql_items, line_items_table, register
+from .catalog import ITEM_OUT, _sql_items, line_items_table, register
 
 # ------------------------------------------------------------------ shared SQL
 
@@ -303,3 +305,158 @@ def q_sink_batch_details(spark, sf_dir):
     SK.sink_batch_details(_batched(spark, sf_dir), path)
     schema = "batch_id string, job_id string, status string, total_line_items bigint, escalation_count bigint, error_message string"
     return spark.read.schema(schema).json(path + "/results").unionByName(spark.read.schema(schema).json(path + "/failures"))
+
+
+# ------------------------------------------------------------------ dead letters (O-08)
+
+_BAD_OPTIONS = ("case when o_orderkey % 89 = 3 then substring(options, 1, 20) "
+                "when o_orderkey % 83 = 7 then replace(replace(options, 'true', '\"yes\"'), 'false', '\"no\"') else options end")
+_STAGES = {"content": ("content_error", "content"), "options": ("typed_error", "options")}
+
+
+@register("dead_letters", _JOB_ITEMS.rstrip() + f""",
+d AS (SELECT j.job_id, j.o_orderkey, i.txt, CASE WHEN j.o_orderkey % 97 = 5 AND i.txt IS NOT NULL THEN {O.q(RS.MSG_NOT_TEXT)}
+    WHEN j.o_orderkey % 89 = 3 THEN {O.q(RS.MSG_NOT_OBJECT.format('options'))}
+    WHEN j.o_orderkey % 83 = 7 THEN {O.q(RS.MSG_WRONG_TYPE.format('options'))} END AS bad
+  FROM jobs j LEFT JOIN invoices i ON j.o_orderkey = i.o_orderkey),
+cnt AS (SELECT job_id, count(*) AS n, sum(CASE WHEN escalation_flag THEN 1 ELSE 0 END) AS e FROM it GROUP BY job_id)
+SELECT d.job_id, CASE WHEN bad IS NOT NULL OR {_BLANK} THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN bad IS NOT NULL THEN bad WHEN {_BLANK} THEN {O.q(X.MSG_NO_TEXT)} END AS error_message,
+  CASE WHEN bad IS NULL AND NOT {_BLANK} THEN coalesce(n, 0) ELSE 0 END AS total_line_items,
+  CASE WHEN bad IS NULL AND NOT {_BLANK} THEN coalesce(e, 0) ELSE 0 END AS escalation_count
+FROM d LEFT JOIN cnt c USING (job_id)""")
+def q_dead_letters(spark, sf_dir):
+    """Jobs whose file is no text or whose options are no JSON fail by
+    themselves; the others are extracted."""
+    from ..operators import extract as E
+    jobs = _jobs(spark, sf_dir).withColumn("options", F.expr(_BAD_OPTIONS))
+    inv = FX.render_invoices(spark, sf_dir).select("o_orderkey", F.col("txt").cast("binary").alias("content"))
+    docs = jobs.join(inv, "o_orderkey", "left").withColumn(
+        "content", F.when(F.col("o_orderkey") % 97 == 5, F.concat("content", F.unhex(F.lit("FF")))).otherwise(F.col("content")))
+    text, error = RS.decoded_text(F.col("content"))
+    docs = RS.checked_json(docs.select("job_id", "options", "content", text.alias("text"), error.alias("content_error")),
+                           "options", J.OPTIONS_SCHEMA, "typed")
+    docs = SK.materialize(docs, "checked-documents")
+    work = RS.intact(docs, _STAGES)
+    results = J.job_result_rows(work, E.extract_line_items(work, ["job_id"], text="text"))
+    return RS.with_failures(results, RS.failures(docs, "job_id", _STAGES))
+
+
+# ------------------------------------------------------------------ job columns (O-07)
+
+_TIMES = {"started": "cast(created_at as timestamp)", "ended": "cast(created_at as timestamp) + interval {n} second"}
+_OCR_CTE = f"""pg0 AS (SELECT o_orderkey, unnest(w) AS text, unnest(generate_series(1, len(w))) AS page_no
+        FROM (SELECT o_orderkey, string_split(txt, chr(10)) AS w FROM invoices)),
+pg1 AS (SELECT o_orderkey, page_no, {O.clean_text('text')} AS clean, CASE WHEN page_no % 2 = 0 THEN 0.75 ELSE 0.65 END AS c FROM pg0),
+pg AS (SELECT concat('job_', cast(o_orderkey AS varchar)) AS job_id, page_no, clean,
+    CASE WHEN length(clean) > 50 AND c > 0.7 THEN 'paddle_ocr' ELSE 'tesseract_raw' END AS method,
+    CASE WHEN length(clean) > 50 AND c > 0.7 THEN c::DOUBLE ELSE {O.raw_text_confidence('clean')} END AS confidence FROM pg1),
+ocr AS (SELECT job_id, count(*) AS total_pages, sum(CASE WHEN clean <> '' THEN 1 ELSE 0 END) AS successful_pages,
+    avg(confidence) AS mean, arg_min(method, page_no) AS first_method, arg_max(method, page_no) AS last_method,
+    array_to_string(list_sort(list_distinct(list(method))), ',') AS methods, sum(length(clean))::BIGINT AS n_chars FROM pg GROUP BY job_id)
+"""
+
+
+def _job_pages(spark, sf_dir):
+    """The chosen text of each page of a job's invoice."""
+    from ..operators import ocr as OC
+    from .catalog_ocr import _invoice_candidates
+    p = OC.select_ocr_candidate(_invoice_candidates(spark, sf_dir))
+    return p.select(F.concat(F.lit("job_"), F.col("doc_id").cast("string")).alias("job_id"), "page_no", "text", "method", "confidence")
+
+
+@register("upsert_job_results", _RESULTS.rstrip() + ",\n" + _OCR_CTE + f"""
+SELECT j.job_id, coalesce(r.status, j.status) AS status, r.total_line_items, r.escalation_count, r.error_message,
+  CASE WHEN r.status = 'completed' THEN coalesce(o.total_pages, 0) END AS total_pages,
+  CASE WHEN r.status = 'completed' THEN o.first_method END AS ocr_method,
+  CASE WHEN r.status = 'completed' THEN round(coalesce(o.mean, 0.0), 9) END AS ocr_confidence,
+  CASE WHEN r.status = 'completed' THEN (j.o_orderkey % 90 + 1)::DOUBLE END AS processing_time,
+  CASE WHEN r.status = 'completed' THEN cast(cast(created_at AS timestamp) + to_seconds(j.o_orderkey % 90 + 1) AS varchar) END AS completed_at
+FROM jobs j LEFT JOIN results r ON j.job_id = r.job_id AND j.status <> 'pending' LEFT JOIN ocr o ON o.job_id = j.job_id""")
+def q_upsert_job_results(spark, sf_dir):
+    """All columns that a finished job gets, for the jobs that were picked up."""
+    jobs = _jobs(spark, sf_dir)
+    inv = FX.render_invoices(spark, sf_dir).select("o_orderkey", "txt")
+    docs = jobs.where("status <> 'pending'").join(inv, "o_orderkey", "left").select(
+        "job_id", F.expr(_TEXT.format(key="o_orderkey", text="txt")).alias("text"), F.col("created_at").cast("timestamp").alias("started"),
+        (F.col("created_at").cast("timestamp") + F.make_dt_interval(secs=F.col("o_orderkey") % 90 + 1)).alias("ended"))
+    results = J.job_result_rows(docs, line_items_table(spark, sf_dir), ocr=J.ocr_summary(_job_pages(spark, sf_dir), "job_id"),
+                                started="started", completed="ended")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in results.schema.fields if f.name not in ("job_id", "status")]
+    out = J.upsert_jobs(jobs.select("job_id", "status", *empty), results)
+    return out.select("job_id", "status", F.col("total_line_items").cast("bigint"), F.col("escalation_count").cast("bigint"),
+                      "error_message", "total_pages", "ocr_method", F.round("ocr_confidence", 9).alias("ocr_confidence"),
+                      "processing_time", F.col("completed_at").cast("string").alias("completed_at"))
+
+
+# ------------------------------------------------------------------ VARIANT (O-05, O-56, O-60)
+
+#: Options with keys that nobody declared.
+_WIDE_OPTIONS = ("replace(options, '}}', concat(', \"priority\": ', cast(o_orderkey % 9 as {s}), ', \"tags\": [\"a\", \"t', "
+                 "cast(o_orderkey % 7 as {s}), '\"], \"nested\": {{\"depth\": ', cast(o_orderkey % 4 as {s}), '}}}}'))")
+
+
+@register("variant_options", "WITH " + O.cte_jobs() + f""",
+w AS (SELECT job_id, {FX.sql(_WIDE_OPTIONS, 'duckdb')} AS options FROM jobs)
+SELECT job_id, {_OPTS.format(d='true')}, json_extract(options, '$.priority')::BIGINT AS priority,
+  json_extract_string(options, '$.tags[1]') AS second_tag, json_extract(options, '$.nested.depth')::BIGINT AS depth FROM w""")
+def q_variant_options(spark, sf_dir):
+    """Options stored as VARIANT and read back: declared keys as before,
+    undeclared ones still there."""
+    jobs = _jobs(spark, sf_dir).withColumn("options", F.expr(FX.sql(_WIDE_OPTIONS)))
+    kept = SK.materialize(VR.variant_options(jobs).drop("options"), "variant-options")
+    v = F.col("options_variant")
+    return kept.select("job_id", "enable_agentic_lookup", "option_supplier_name", "batch_id",
+                       VR.path_value(v, "$.priority", "bigint").alias("priority"), VR.path_value(v, "$.tags[1]", "string").alias("second_tag"),
+                       VR.path_value(v, "$.nested.depth", "bigint").alias("depth"))
+
+
+@register("variant_answers", "WITH " + O.cte_answers() + """
+SELECT job_id, line_no, json_extract_string(answer, '$.uom') AS uom, json_extract(answer, '$.pack_quantity')::BIGINT AS pack_quantity,
+  json_extract(answer, '$.confidence')::DOUBLE AS confidence, json_extract_string(answer, '$.reasoning') AS reasoning FROM answers""")
+def q_variant_answers(spark, sf_dir):
+    kept = SK.materialize(VR.variant_answers(FX.render_answers(spark, sf_dir)), "variant-answers")
+    return kept.select("job_id", "line_no", "uom", "pack_quantity", "confidence", "reasoning")
+
+
+_DOC_ITEM = [c for c in ITEM_OUT if c not in ("pack_unit", "pack_quantity", "pack_confidence", "pack_source")]
+_DOC_TYPES = {"line_no": "int", "detected_pack_quantity": "bigint", "escalation_flag": "boolean", **{c: "double" for c in (
+    "price_per_base_unit", "confidence_score", "unit_price", "total_amount", "taxable_amount", "quantity")}}
+
+
+@register("variant_json_documents", _JOB_ITEMS.rstrip() + ",\n" + _OCR_CTE + f""",
+w AS (SELECT job_id, o_orderkey, file_name, status, {FX.sql(_WIDE_OPTIONS, 'duckdb')} AS options FROM jobs)
+SELECT w.job_id, w.file_name, w.status, json_extract(w.options, '$.nested.depth')::BIGINT AS depth, o.total_pages,
+  o.successful_pages::BIGINT AS successful_pages, round(o.mean, 9) AS avg_confidence, o.methods AS methods_used,
+  o.last_method, o.n_chars, {', '.join('it.' + c for c in _DOC_ITEM)}, it.pack_unit, it.pack_quantity, it.pack_confidence
+FROM w LEFT JOIN it USING (job_id) LEFT JOIN ocr o USING (job_id)""")
+def q_variant_json_documents(spark, sf_dir):
+    """Whole JSON documents (header, all options, OCR summary and page
+    details, extraction summary, every field of every item), written, read
+    back as VARIANT and taken apart by path."""
+    jobs = _jobs(spark, sf_dir).withColumn("options", F.expr(FX.sql(_WIDE_OPTIONS)))
+    items = SK.materialize(line_items_table(spark, sf_dir), "json-items")
+    pages = SK.materialize(_job_pages(spark, sf_dir), "json-pages")
+    docs = VR.job_documents(jobs.select("job_id", "file_name", "status", "options"), items, pages,
+                            J.extraction_summary(items, jobs), J.ocr_summary(pages, "job_id"))
+    path = shared_dir(spark, "jsondocs") + "/t"
+    SK.sink_json_documents(docs, path)
+    v = F.col("document")
+    get = lambda p, kind: VR.path_value(v, p, kind)
+    fields = ", ".join(f"{c}: {'array<string>' if c == 'escalation_reasons' else _DOC_TYPES.get(c, 'string')}" for c in _DOC_ITEM)
+    kind = f"array<struct<{fields}, pack_info: struct<unit: string, quantity: bigint, confidence: double>>>"
+    d = VR.read_documents(spark.read.text(path)).select(
+        get("$.job_id", "string").alias("job_id"), get("$.file_name", "string").alias("file_name"), get("$.status", "string").alias("status"),
+        get("$.options.nested.depth", "bigint").alias("depth"), get("$.ocr_summary.total_pages", "bigint").alias("total_pages"),
+        get("$.ocr_summary.successful_pages", "bigint").alias("successful_pages"),
+        F.round(get("$.ocr_summary.avg_confidence", "double"), 9).alias("avg_confidence"),
+        F.array_join(get("$.ocr_summary.methods_used", "array<string>"), ",").alias("methods_used"),
+        get("$.ocr_results", "array<struct<page_no: int, method: string, n_chars: bigint>>").alias("_pages"),
+        F.explode_outer(get("$.line_items", kind)).alias("i"))
+    return d.select(
+        "job_id", "file_name", "status", "depth", "total_pages", "successful_pages", "avg_confidence", "methods_used",
+        F.element_at("_pages", -1)["method"].alias("last_method"),
+        F.aggregate(F.transform("_pages", lambda p: p["n_chars"]), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_chars"),
+        *[(F.array_join(f"i.{c}", ",") if c == "escalation_reasons" else F.col(f"i.{c}")).alias(c) for c in _DOC_ITEM],
+        F.col("i.pack_info.unit").alias("pack_unit"), F.col("i.pack_info.quantity").alias("pack_quantity"),
+        F.col("i.pack_info.confidence").alias("pack_confidence"))
