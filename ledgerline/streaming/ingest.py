@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed as X
+from ..operators.bloom import anti_join, plain_anti_join, possible_matches
 from ..sources.sinks import materialize
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+#: A file is known by its path or by its content.
+FILE_KEYS = [["file_path"], ["file_hash"]]
 STATE_COLUMNS = ["file_path", "file_hash", "processed", "job_id", "discovered_at", "processed_at"]
 
 
@@ -51,11 +54,10 @@ def file_hash(df: DataFrame, content: str = "content") -> DataFrame:
 
 def unprocessed_files(files: DataFrame, state: DataFrame) -> DataFrame:
     """Files not yet processed by path nor by content hash (O-19): two
-    anti-joins (an OR condition in one join would be a nested loop)."""
-    done = state.where(F.col("processed"))
-    by_path = files.join(done.select("file_path").distinct(), "file_path", "left_anti")
-    return by_path.join(done.select("file_hash").where(F.col("file_hash").isNotNull()).distinct(),
-                        "file_hash", "left_anti")
+    anti-joins (an OR condition in one join would be a nested loop), behind a
+    Bloom filter of the processed paths and hashes, so that only possible hits
+    meet the history."""
+    return anti_join(files, state.where(F.col("processed")), FILE_KEYS)
 
 
 def stable_files(obs: DataFrame, timeout_s: int = X.FILE_READY_TIMEOUT_S, path: str = "path",
@@ -137,7 +139,10 @@ def new_files(batch: DataFrame, state: DataFrame | None) -> DataFrame:
     row of the path has a hash."""
     left = batch.select("file_path", "file_hash").where(F.col("file_path").isNotNull()).distinct()
     if state is not None:
-        left = unprocessed_files(left, state).select("file_path", "file_hash")
+        # of the history only what the batch can match is joined
+        left = materialize(left, "batch-pairs")
+        done = materialize(possible_matches(state.where(F.col("processed")).select("file_path", "file_hash"), left, FILE_KEYS), "matches")
+        left = plain_anti_join(left, done, FILE_KEYS)
     left = materialize(left, "new-pairs")
     hashed, chosen = left.where(F.col("file_hash").isNotNull()), []
     while True:
