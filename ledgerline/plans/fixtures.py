@@ -14,7 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---- rendered invoice line, one per lineitem row (needs part columns) ----
-LINE_SQL = """concat(p_name,
+# Some lines reach the rules that ordinary ones never do: no digit or a skipped word (no candidates), nothing that
+# describes an item, a pack of zero, only a name (low confidence where the supplier is unknown too).
+RARE_LINE_SQL = """case l_partkey % 8
+   when 0 then 'freight and handling as agreed'
+   when 1 then concat('Rounding amount ', cast(l_linenumber as {s}), '.50')
+   when 2 then concat(cast(l_partkey as {s}), cast(1000000 + l_suppkey as {s}))
+   when 3 then concat(p_name, '  PK0  INR ', cast(cast(l_quantity as int) as {s}), '  INR 10.00  INR 40.00')
+   when 4 then concat('nut ', cast(l_linenumber as {s}), 'x')
+   when 5 then concat(p_name, chr(160), 'type ', cast(p_size as {s}), ' GRS')
+   when 6 then concat('INVOICE ', cast(l_orderkey as {s}))
+   else concat('a', cast(l_linenumber as {s})) end"""
+LINE_SQL = """case when (l_orderkey + l_linenumber) % 37 = 0 then """ + RARE_LINE_SQL + """ else concat(p_name,
   case p_size % 5 when 0 then ' sheet' when 1 then ' carton' else '' end,
   case (l_linenumber + l_partkey) % 7
    when 0 then concat('  ', cast(cast(l_quantity as int) as {s}), '/CS')
@@ -28,12 +39,13 @@ LINE_SQL = """concat(p_name,
    when 0 then concat('  INR ', cast(cast(l_quantity as int) as {s}), '  INR ', cast(cast(p_retailprice as decimal(18,2)) as {s}), '  INR ', cast(cast(l_extendedprice as decimal(18,2)) as {s}))
    when 1 then concat('  @INR ', cast(cast(p_retailprice as decimal(18,2)) as {s}), '  @INR ', cast(cast(l_extendedprice as decimal(18,2)) as {s}))
    when 2 then concat('  USD', cast(cast(l_extendedprice as decimal(18,2)) as {s}))
-   else concat('  (', cast(cast(l_quantity as int) as {s}), ')  @ ', cast(cast(p_retailprice as decimal(18,2)) as {s})) end)"""
+   else concat('  (', cast(cast(l_quantity as int) as {s}), ')  @ ', cast(cast(p_retailprice as decimal(18,2)) as {s})) end) end"""
 
 # ---- invoice header and footer, one per order ------------------------------
-HEADER_SQL = """case o_orderkey % 4 when 0 then concat('Sold By: Acme Trading ', cast(o_custkey as {s}))
- when 1 then 'NORTHERN SUPPLY LLC' when 2 then 'Northern Tools Group' else 'Plain Workshop Name' end"""
-TABLE_HEAD = "Description  Pack  Rate  Amount"
+HEADER_SQL = """case when o_orderkey % 23 = 4 then 'to whom it may concern' else case o_orderkey % 4 when 0 then concat('Sold By: Acme Trading ', cast(o_custkey as {s}))
+ when 1 then 'NORTHERN SUPPLY LLC' when 2 then 'Northern Tools Group' else 'Plain Workshop Name' end end"""
+# nothing in these invoices names a supplier: no line begins with a capital
+TABLE_HEAD_SQL = "case when o_orderkey % 23 = 4 then 'description  pack  rate  amount' else 'Description  Pack  Rate  Amount' end"
 FOOTER_SQL = "concat('Subtotal  INR ', cast(cast(o_totalprice as decimal(18,2)) as {s}))"
 
 # ---- jobs, one per order -----------------------------------------------------
@@ -130,7 +142,7 @@ def render_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.any_value("o_totalprice").alias("o_totalprice")))
     return body.select(
         "o_orderkey", "o_custkey",
-        F.concat_ws("\n", F.expr(sql(HEADER_SQL)), F.lit(TABLE_HEAD),
+        F.concat_ws("\n", F.expr(sql(HEADER_SQL)), F.expr(sql(TABLE_HEAD_SQL)),
                     F.array_join(F.transform("ls", lambda x: x["line"]), "\n"),
                     F.expr(sql(FOOTER_SQL))).alias("txt"))
 

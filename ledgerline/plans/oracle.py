@@ -43,7 +43,7 @@ def cte_invoices() -> str:
     return f"""{cte_lines()},
 invoices AS (
   SELECT o_orderkey, o_custkey,
-    concat_ws(chr(10), {FX.sql(FX.HEADER_SQL, 'duckdb')}, {q(FX.TABLE_HEAD)},
+    concat_ws(chr(10), {FX.sql(FX.HEADER_SQL, 'duckdb')}, {FX.sql(FX.TABLE_HEAD_SQL, 'duckdb')},
       string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey),
       {FX.sql(FX.FOOTER_SQL, 'duckdb')}) AS txt
   FROM rlines JOIN orders ON l_orderkey = o_orderkey

@@ -189,3 +189,20 @@ def test_new_files_keep_every_free_content(spark):
     assert chosen([("p1", "h1"), ("p1", "h2"), ("p2", "h2")], [("q", "h1", True), ("p3", "h9", False)]) == [("p1", "h2")]
     assert chosen([("p1", None), ("p2", None), ("p2", None), ("p3", None), ("p3", "h3")], [("p1", None, True)]) == [
         ("p2", None), ("p3", "h3")]
+
+
+def test_inputs_reach_every_rule(spark):
+    """The rendered invoices hold lines that are no candidates, describe
+    nothing, have a pack of zero or little confidence, and no supplier."""
+    from ledgerline.operators import extract as E
+    from ledgerline.plans import catalog as C
+    from ledgerline.plans import fixtures as FX
+    sf = "/root/testdata/sf0.001"
+    lines = FX.render_lines(spark, sf).count()
+    candidates = E.explode_candidate_lines(FX.render_invoices(spark, sf), ["o_orderkey"], text="txt", clean=False).count()
+    items = C.invoice_items(spark, sf)
+    reason = lambda r: F.count_if(F.array_contains("escalation_reasons", r)).alias(r)
+    got = items.agg(F.count("*").alias("n"), F.count_if("supplier_name IS NULL").alias("unnamed"),
+                    F.count_if("pack_info.quantity = 0").alias("zero"), reason(X.MISSING_UOM), reason(X.INVALID_PRICE),
+                    reason(X.LOW_CONFIDENCE)).first()
+    assert lines > candidates > got["n"] > 0 and min(got) > 0
