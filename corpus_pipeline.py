@@ -8,9 +8,10 @@ stage learns from and decides on its own input.  ``run`` writes each stage's
 result to the shared folder and reads it again.
 
 Defined results: null and empty texts pass the filters (they are clean) and
-are encoded as the end id alone; rows that share a doc_id are one document in
-the second stage, and one row of them stays; rows without doc_id link with
-nothing; an empty input gives an empty result.
+are encoded as the end id alone; in the second stage a document is an id with
+a text, so texts that share an id are judged each, and of rows that repeat both
+one stays; rows without doc_id link with nothing; an empty input gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate, ngram_join, personal_data, sentence_pieces, toxicity
 from ledgerline.llm.common import stored, table
+from ledgerline.operators.positions import positions
 
 #: Near duplicates share 80 per cent of their five-word sequences; the op3 query has its own contract.
 NEAR_WORDS, NEAR_SHARE = 5, 80
@@ -45,13 +47,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return made.select(*_named(made, docs))
 
 
+def _nodes(docs: DataFrame) -> DataFrame:
+    """``docs`` plus ``node``, one number for each (doc_id, text): the doc_id
+    itself unless several texts or rows share it; ``shared`` tells which."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    kinds = docs.where("doc_id IS NOT NULL").select("doc_id", digest.alias("digest")).groupBy("doc_id", "digest").count()
+    several = kinds.groupBy("doc_id").agg(F.sum("count").alias("n")).where("n > 1").select("doc_id")
+    kinds = stored(kinds.join(several, "doc_id", "left_semi").select("doc_id", "digest"), "pipeline-shared-ids")
+    least = docs.agg(F.min("doc_id")).first()[0] or 0
+    numbered = positions(kinds, [], [F.col("doc_id"), F.col("digest")], "at", name="pipeline-nodes").select(
+        F.col("doc_id").alias("_id"), "digest", (F.lit(least - 1) - F.col("at")).alias("_own"))
+    rows = docs.withColumn("_digest", digest)
+    rows = rows.join(numbered, (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("digest")), "left")
+    return rows.select(*docs.columns, F.coalesce("_own", "doc_id").alias("node"), F.col("_own").isNotNull().alias("shared"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = stored(ngram_join.component_table(docs.select("doc_id", "text"), words=NEAR_WORDS, share=NEAR_SHARE)
-                    .select("doc_id", "component_id").where("doc_id IS NOT NULL"), "pipeline-groups")
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).where("n > 1")
-    gone = groups.where("doc_id <> component_id").select("doc_id").union(repeated.select("doc_id")).distinct()
-    again = docs.join(repeated.where("doc_id = c").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    rows = stored(_nodes(_plain(docs)), "pipeline-rows")
+    groups = ngram_join.component_table(rows.select(F.col("node").alias("doc_id"), "text"), words=NEAR_WORDS, share=NEAR_SHARE)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("node")).distinct()
+    left = stored(rows.join(gone, "node", "left_anti"), "pipeline-left")
+    # rows that repeat both id and text are one document
+    once = left.where("shared").dropDuplicates(["node"])
+    made = left.where("NOT shared").unionByName(once)
+    return made.select(*_named(made, docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +87,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentence_pieces.encode(docs, ("ids", "n_tokens", "decoded_sha256"))
+    # the workers have served four other stages
+    return sentence_pieces.encode(docs, ("ids", "n_tokens", "decoded_sha256"), cache_size=160_000)
 
 
 STAGES = [
