@@ -55,6 +55,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def set_aside(df: DataFrame, helpers) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
+    """``df`` with its columns that are called like one of an operator's
+    ``helpers`` under neutral names, and the names there and back
+    (``withColumnsRenamed(back)`` restores them).  Names are compared as Spark
+    does, without case."""
+    helpers, taken = {h.lower() for h in helpers}, {c.lower() for c in df.columns}
+    there: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in helpers:
+            k = len(there)
+            while f"aside_{k}" in taken:
+                k += 1
+            taken.add(f"aside_{k}")
+            there[c] = f"aside_{k}"
+    return df.withColumnsRenamed(there) if there else df, there, {new: old for old, new in there.items()}
+
+
 class WordCache(dict):
     """word -> ``compute(word)``, with a bound on what it holds: a full cache
     becomes the old generation, from which words that come again move over.

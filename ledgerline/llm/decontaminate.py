@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, stored, table
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: A block's search tables take about 110 times its text in each worker.
+BLOCK_BYTES = 1 << 20
 
 #: Bytes of words stay (A-Z in lower case), all other ASCII bytes are gaps.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))

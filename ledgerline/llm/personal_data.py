@@ -19,8 +19,9 @@ Everything on the tables is DataFrame expressions: two passes over the texts
 and one small aggregation, no other shuffle.  Offsets are code points, from
 running sums of the lengths of matches and of the text between them.
 
-Defined results: null text has no spans; repeated rows each get a result;
-other columns are kept unless their names clash with added ones.
+Defined results: null text has no spans; repeated rows each get a result; an
+empty table gives an empty one; other columns are kept, whatever their names,
+but those named like an added column are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import set_aside, table
 
 BASE = ["email", "ip", "card", "phone"]
 WIDER = ["secret", "ssn", "iban", "phone_local", "email_written"]
@@ -115,6 +116,10 @@ def running_sums(sizes: Column) -> Column:
         bs, totals(bs), lambda b, t: F.when(b.isNotNull(), sums(b, t)).otherwise(F.array().cast("array<int>"))))))
 
 
+#: Columns in between; an input's own columns of these names are set aside.
+HELPERS = ("_t", "_c", "_more", "_done", *(f"_h{i}" for i in range(len(KINDS))), *(f"_s{i}" for i in range(len(KINDS))))
+
+
 def _text_column(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
 
@@ -122,6 +127,8 @@ def _text_column(df: DataFrame, text: str) -> DataFrame:
 def find_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` plus ``candidates``: array of (start, kind, stop, votes), kind
     as its place in ``KINDS``."""
+    df, there, back = set_aside(df, HELPERS)
+    text = there.get(text, text)
     names = [c for c in df.columns if c != "candidates"]
     empty = F.array().cast("array<string>")
     t = F.col("_t")
@@ -161,7 +168,7 @@ def find_candidates(df: DataFrame, text: str = "text") -> DataFrame:
             F.when(c["kind"] == KINDS.index("secret"), vote((signs >= 14) & m.rlike("[0-9]"), signs < 10))
             .otherwise(vote(digits >= 4, digits <= 2)).alias("shape"))
 
-    return df.select(*names, F.transform("_c", voted).alias("candidates"))
+    return df.select(*names, F.transform("_c", voted).alias("candidates")).withColumnsRenamed(back)
 
 
 @dataclass
@@ -226,6 +233,8 @@ def train(docs: DataFrame, text: str = "text") -> SpanModel:
 def find_spans(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     """``docs`` plus ``base`` and ``spans``: arrays of (start, kind, stop) in
     order; ``spans`` holds the base ones and those that the model adds."""
+    docs, there, back = set_aside(docs, (*HELPERS, "candidates"))
+    text = there.get(text, text)
     names = [c for c in docs.columns if c not in ("base", "spans")]
     plain = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"))
     df = find_candidates(docs.select(*names), text).select(
@@ -233,7 +242,7 @@ def find_spans(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFra
                                          plain)).alias("base"),
         F.transform(F.filter("candidates", lambda c: (c["kind"] >= len(BASE)) & model.accepts(c)), plain).alias("_more"))
     added = F.filter("_more", lambda c: ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["stop"] <= b["stop"])))
-    return df.select(*names, "base", F.sort_array(F.concat("base", added)).alias("spans"))
+    return df.select(*names, "base", F.sort_array(F.concat("base", added)).alias("spans")).withColumnsRenamed(back)
 
 
 def written(spans) -> Column:
@@ -259,6 +268,8 @@ def united(spans) -> Column:
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
     """``found`` with each span in ``text`` replaced by its kind in angle
     brackets; spans that overlap are one, also in ``spans``."""
+    found, there, back = set_aside(found, HELPERS)
+    text = there.get(text, text)
     kinds = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     t = F.col(text)
@@ -270,7 +281,7 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
     names = [c for c in found.columns if c != "_done"]
     return found.select(*names, F.when(F.size("spans") > 0, done).alias("_done")).select(*[
         F.when(F.col("_done").isNotNull(), F.concat(F.array_join("_done.out", ""), F.substr(t, F.col("_done.at") + 1)))
-        .otherwise(t).alias(text) if c == text else F.col(c) for c in names])
+        .otherwise(t).alias(text) if c == text else F.col(c) for c in names]).withColumnsRenamed(back)
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ with a repeated hash sort their windows, and equality is then decided on the
 words themselves.
 
 Defined results: a null or empty text has no words, all counts are 0 and it
-fails ``too_short``; repeated rows each get their own result; other input
-columns are kept, and a clash with an added name is replaced.
+fails ``too_short``; repeated rows each get their own result; very long texts
+are counted whole (a row's arrays grow with its text); an empty table gives an
+empty one; other input columns are kept, whatever their names, but those named
+like an added column are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import set_aside, table
 
 SYMBOLS = "#*$%&|<>"
 
@@ -76,6 +78,8 @@ def _count_of(text: Column, char: str) -> Column:
 
 def measures(df: DataFrame, text: str = "text", stop_words: dict[str, list[str]] = STOP_WORDS) -> DataFrame:
     """``df`` plus the counts that rules speak of."""
+    df, there, back = set_aside(df, ("_words", "_lines", "_flat", "_hashes", "_sorted"))
+    text = there.get(text, text)
     added = ("n_words", "word_chars", "n_symbols", "n_shouts", "n_stop_words", "n_lines", "n_dup_lines",
              "n_repeat_words", "one")
     keep = [c for c in df.columns if c not in added]
@@ -105,8 +109,9 @@ def measures(df: DataFrame, text: str = "text", stop_words: dict[str, list[str]]
     same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["w"] == y["w"]), F.lit(False))
     again = F.filter("_sorted", lambda x, j: same(x, F.get("_sorted", j - 1)) | same(x, F.get("_sorted", j + 1)))
     covered = F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_shouts", "n_stop_words", "n_lines",
+    made = df.select(*keep, "n_words", "word_chars", "n_symbols", "n_shouts", "n_stop_words", "n_lines",
                      "n_dup_lines", F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_repeat_words"))
+    return made.withColumnsRenamed(back)
 
 
 def apply_rules(measured: DataFrame, base: list[Rule] = BASE_RULES, rules: list[Rule] = RULES) -> DataFrame:

@@ -251,8 +251,12 @@ SQL_TYPES = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string",
              "decoded_sha256": "string"}
 
 
+#: Pieces of text that a worker remembers; about 1 kB each with their parts.
+CACHE = 300_000
+
+
 @cache
-def _stretch_cache(path: str) -> WordCache:
+def _stretch_cache(path: str, size: int = CACHE) -> WordCache:
     """(number of ids, ids in decimal, decoded text) by a key of ``words``."""
     model = load(path)
 
@@ -267,14 +271,15 @@ def _stretch_cache(path: str) -> WordCache:
         ids = model.encode_stretch(part)
         return len(ids), " ".join(map(str, ids)), model.decode_part(ids)
 
-    stretches = WordCache(entry, 160_000)
+    stretches = WordCache(entry, size)
     return stretches
 
 
 def encode(docs: DataFrame, outputs=("ids", "n_tokens"), text: str = "text", end: bool = True,
-           path: str | None = None, keep_text: bool = True) -> DataFrame:
+           path: str | None = None, keep_text: bool = True, cache_size: int = CACHE) -> DataFrame:
     """``docs`` plus any of ``OUTPUTS`` for its texts.  ``decoded`` and its
-    digest come from decoding the ids."""
+    digest come from decoding the ids.  ``cache_size`` trades a worker's
+    memory for time."""
     path = path or tokenizer_path(MODEL)
     rows = docs.drop(*[c for c in outputs if c != text])
     kept = [f for f in rows.schema.fields if f.name not in outputs and (keep_text or f.name != text)]
@@ -283,7 +288,7 @@ def encode(docs: DataFrame, outputs=("ids", "n_tokens"), text: str = "text", end
                         *(f"{o} {SQL_TYPES[o]}" for o in outputs)])
 
     def run(batches):
-        model, stretches = load(path), _stretch_cache(path)
+        model, stretches = load(path), _stretch_cache(path, cache_size)
         tail = [model.end] if end else []
         for batch in batches:
             made = {o: [] for o in outputs}

@@ -18,8 +18,10 @@ and skewed keys of the joins back to the pages are split by AQE.
 
 Defined results: a null url, or one without ``://``, has empty host and path
 and takes the default verdict; an empty path matches no rule path; repeated
-pages each get a row; other columns of the input are ignored; rules with a
-null host, path or verdict raise.
+pages each get a row; an empty table gives an empty one; very long urls give
+no more expressions than the rules have labels and levels; other columns are
+kept, whatever their names, but those named like an added column are replaced;
+rules with a null host, path or verdict raise.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, set_aside, table
 
 #: (host, path, verdict) of the registered query.
 RULES = [
@@ -65,6 +67,8 @@ def rule_table(spark: SparkSession, rules) -> DataFrame:
 def filter_urls(pages: DataFrame, rules, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` plus ``host``, ``path``, ``rule`` and ``verdict``."""
     spark = pages.sparkSession
+    pages, there, back = set_aside(pages, ("won", "w_host", "w_path"))
+    url = there.get(url, url)
     rt = rule_table(spark, rules)
     depth = rt.agg(F.max(F.size(F.split("r_host", r"\."))).alias("labels"),
                    F.max(F.size(F.split("r_path", "/"))).alias("levels")).first()
@@ -98,7 +102,7 @@ def filter_urls(pages: DataFrame, rules, url: str = "url", default: str = "allow
            .agg(F.max(rank).alias("won")))
     return (rows.join(won, (F.col("host") == F.col("w_host")) & (F.col("path") == F.col("w_path")), "left")
             .select(*keep, "host", "path", F.col("won.rule").alias("rule"),
-                    F.coalesce("won.verdict", F.lit(default)).alias("verdict")))
+                    F.coalesce("won.verdict", F.lit(default)).alias("verdict")).withColumnsRenamed(back))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

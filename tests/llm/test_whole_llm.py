@@ -85,3 +85,54 @@ def test_counts_beyond_four_bytes():
                                        names=["chunk", "data"])
     made = next(lm_scoring._add_chunks([chunk, chunk]))
     assert lm_scoring.unpack(made.column("data")[0].as_py()).tolist() == [2**33 - 2, 2]
+
+
+def test_texts_that_share_an_id_are_judged_each(spark):
+    """Six rows with five distinct texts: only copies go, in any order of the rows."""
+    near = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, near), (2, near + " end"), (2, "another text that nothing else is like"), (3, "p q r s t u v"),
+            (4, "x y z"), (4, "p q"), (4, "x y z"), (None, "x y z"), (None, "x y z"), (5, "x y z")]
+    want = None
+    for seed in range(3):
+        some = rows[:]
+        random.Random(seed).shuffle(some)
+        docs = spark.createDataFrame([(*r, "k") for r in some], "doc_id bigint, text string, node string").repartition(3)
+        made = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert made.dtypes == docs.dtypes
+        got = sorted(((r["doc_id"] or 0, r["text"]) for r in made.collect()))
+        assert want in (None, got)
+        want = got
+    texts = [t for _, t in want]
+    assert len(want) == 7 and set(t for t in texts if t != near + " end" and t != near) == {r[1] for r in rows[2:]}
+    assert (near in texts) + (near + " end" in texts) == 1 and texts.count("x y z") == 3
+
+
+def test_columns_called_like_helpers_are_kept(spark):
+    from ledgerline.llm import quality_rules, url_filters
+    text = "mail a@b.example.com or +49 30 1234567 of example words here " * 3
+    names = ["_words", "_lines", "_flat", "_hashes", "_sorted", "_H1", "aside_0"]
+    df = spark.createDataFrame([(1, text, *names)], "doc_id int, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = quality_rules.apply_rules(quality_rules.measures(df)).first()
+    assert [got[n] for n in names] == names and got["n_words"] == 30
+    names = ["won", "W_host", "w_path", "r_host", "digest", "suffix"]
+    df = spark.createDataFrame([(1, "http://a.net/es/x", *names)], "page_id int, url string, " + ", ".join(f"{n} string" for n in names))
+    got = url_filters.filter_urls(df, url_filters.RULES).first()
+    assert [got[n] for n in names] == names and got["rule"] == "net/es/" and got["verdict"] == "block"
+    names = ["_t", "_c", "_more", "_done", "_h1", "_S3", "candidates"]
+    df = spark.createDataFrame([(1, text, *names)], "doc_id int, text string, " + ", ".join(f"`{n}` string" for n in names))
+    model = personal_data.train(df)
+    found = personal_data.find_spans(df, model)
+    got = personal_data.redact(found).first()
+    assert [got[n] for n in names] == names and "<EMAIL>" in got["text"] and "a@b" not in got["text"]
+
+
+def test_benchmark_in_several_blocks(spark):
+    from ledgerline.llm import decontaminate
+    rnd = random.Random(6)
+    word = lambda: f"w{rnd.randrange(60)}"
+    items = spark.createDataFrame([(k, " ".join(word() for _ in range(rnd.randint(0, 15)))) for k in range(60)], "item_id int, text string")
+    docs = spark.createDataFrame([(k, " ".join(word() for _ in range(200))) for k in range(20)], "doc_id int, text string")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
+    whole, parts = (sorted(map(str, decontaminate.summarise(decontaminate.find_windows(docs, items, window=2, block_bytes=b))
+                               .select(columns).collect())) for b in (1 << 20, 700))
+    assert whole == parts
