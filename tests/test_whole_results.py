@@ -197,7 +197,7 @@ def test_inputs_reach_every_rule(spark):
     from ledgerline.operators import extract as E
     from ledgerline.plans import catalog as C
     from ledgerline.plans import fixtures as FX
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     lines = FX.render_lines(spark, sf).count()
     candidates = E.explode_candidate_lines(FX.render_invoices(spark, sf), ["o_orderkey"], text="txt", clean=False).count()
     items = C.invoice_items(spark, sf)
