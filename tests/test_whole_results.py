@@ -202,7 +202,7 @@ def test_inputs_reach_every_rule(spark):
     candidates = E.explode_candidate_lines(FX.render_invoices(spark, sf), ["o_orderkey"], text="txt", clean=False).count()
     items = C.invoice_items(spark, sf)
     reason = lambda r: F.count_if(F.array_contains("escalation_reasons", r)).alias(r)
-    got = items.agg(F.count("*").alias("n"), F.count_if("supplier_name IS NULL").alias("unnamed"),
-                    F.count_if("pack_info.quantity = 0").alias("zero"), reason(X.MISSING_UOM), reason(X.INVALID_PRICE),
+    got = items.agg(F.count("*").alias("n"), F.count_if(F.col("supplier_name").isNull()).alias("unnamed"),
+                    F.count_if(F.col("pack_info.quantity") == 0).alias("zero"), reason(X.MISSING_UOM), reason(X.INVALID_PRICE),
                     reason(X.LOW_CONFIDENCE)).first()
     assert lines > candidates > got["n"] > 0 and min(got) > 0
