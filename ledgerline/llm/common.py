@@ -112,14 +112,19 @@ class WordCache(dict):
         return value
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded in rows and bytes, where the session leaves the
+    default."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded in rows and bytes, so that long
     texts don't pile up in one batch; a worker that served another operator
     gives back its caches first."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    bound_batches(df.sparkSession)
 
     def run(batches):
         WordCache.empty_others(function.__module__)

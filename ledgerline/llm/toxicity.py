@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, map_batches, stored, table
+from .common import WordCache, bound_batches, map_batches, stored, table
 
 SAMPLE, FEATURES, THRESHOLD = 20_000, 5_000, 0.7
 LEAST_ROWS, LEAST_Z = 3, 4.0
@@ -212,6 +212,22 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
     return map_batches(rows, run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def score_column(text: Column, model: Model, spark: SparkSession) -> Column:
+    """The score of a text column as a column: only texts go to the workers
+    and only numbers come back, rows stay where they are."""
+    bound_batches(spark)
+    sent, held = spark.sparkContext.broadcast(model), []
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        if not held:
+            known = sent.value.weights
+            held.append(WordCache(lambda t: tuple(f for f in features_of(t) if f in known), 100_000).__getitem__)
+        return pa.array([sent.value.score(text_features(t.as_py(), held[0])) for t in texts], pa.float64())
+
+    return scored(text)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
