@@ -43,8 +43,7 @@ def _named(made: DataFrame, docs: DataFrame) -> list:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    made = toxicity.score(_plain(docs), model).where("predicted = 0")
-    return made.select(*_named(made, docs))
+    return docs.where(toxicity.score_column(F.col("text"), model, spark) < toxicity.THRESHOLD)
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
