@@ -251,8 +251,8 @@ SQL_TYPES = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string",
              "decoded_sha256": "string"}
 
 
-#: Pieces of text that a worker remembers; about 1 kB each with their parts.
-CACHE = 300_000
+#: Pieces of text that a worker remembers, about 0.5 kB each with their parts.
+CACHE = 600_000
 
 
 @cache

@@ -221,6 +221,7 @@ def score_column(text: Column, model: Model, spark: SparkSession) -> Column:
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         if not held:
+            WordCache.empty_others(features_of.__module__)
             known = sent.value.weights
             held.append(WordCache(lambda t: tuple(f for f in features_of(t) if f in known), 100_000).__getitem__)
         return pa.array([sent.value.score(text_features(t.as_py(), held[0])) for t in texts], pa.float64())
