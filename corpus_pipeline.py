@@ -87,7 +87,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the workers have served four other stages
-    return sentence_pieces.encode(docs, ("ids", "n_tokens", "decoded_sha256"), cache_size=160_000)
+    return sentence_pieces.encode(docs, ("ids", "n_tokens", "decoded_sha256"), cache_size=60_000)
 
 
 STAGES = [
