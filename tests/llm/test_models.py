@@ -75,6 +75,27 @@ def test_ngram_join_equals_all_pairs(spark, monkeypatch, frequent):
     assert got == plain_components(rows)
 
 
+@pytest.mark.parametrize("pairs_left, merged_least", [(0, 10**9), (10**9, 64)])
+def test_ngram_join_rounds_of_pivots(spark, monkeypatch, pairs_left, merged_least):
+    """Near copies of which some link only through others: rounds of one pivot
+    until little is left, and one round with the join of the rest."""
+    monkeypatch.setattr(ngram_join, "PAIRS_LEFT", pairs_left)
+    monkeypatch.setattr(ngram_join, "MERGED_LEAST", merged_least)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    rnd = random.Random(8)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{rnd.randrange(60)}" for _ in range(90)]
+        for _ in range(30):
+            words = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+                words[rnd.randrange(len(words))] = f"x{rnd.randrange(9)}"
+            rows.append(" ".join(words[:rnd.choice([88, 89, 90])]))
+    df = spark.createDataFrame([*enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.component_table(df).collect()}
+    assert got == plain_components([*enumerate(rows)])
+
+
 def test_prefixes_never_miss_a_link():
     rnd = np.random.default_rng(5)
     for _ in range(300):
