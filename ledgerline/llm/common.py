@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -98,6 +99,9 @@ class WordCache(dict):
         if others:
             gc.collect()
             pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
 
     def __missing__(self, word):
         if len(word) > self.longest:

@@ -75,13 +75,13 @@ def test_ngram_join_equals_all_pairs(spark, monkeypatch, frequent):
     assert got == plain_components(rows)
 
 
-@pytest.mark.parametrize("pairs_left, merged_least", [(0, 10**9), (10**9, 64)])
-def test_ngram_join_rounds_of_pivots(spark, monkeypatch, pairs_left, merged_least):
-    """Near copies of which some link only through others: rounds of one pivot
-    until little is left, and one round with the join of the rest."""
-    monkeypatch.setattr(ngram_join, "PAIRS_LEFT", pairs_left)
-    monkeypatch.setattr(ngram_join, "MERGED_LEAST", merged_least)
-    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+@pytest.mark.parametrize("k, listed", [(2, 64), (2, 1), (3, 64), (4, 1000)])
+def test_ngram_join_of_frequent_members(spark, monkeypatch, k, listed):
+    """Near copies of which some link only through others, with every member
+    frequent and with all, few or hardly any groups listed."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    monkeypatch.setattr(ngram_join, "FREQUENT_LEAST", 1)
+    monkeypatch.setattr(ngram_join, "GROUPS_LISTED", listed)
     rnd = random.Random(8)
     rows = []
     for group in range(3):
@@ -92,7 +92,7 @@ def test_ngram_join_rounds_of_pivots(spark, monkeypatch, pairs_left, merged_leas
                 words[rnd.randrange(len(words))] = f"x{rnd.randrange(9)}"
             rows.append(" ".join(words[:rnd.choice([88, 89, 90])]))
     df = spark.createDataFrame([*enumerate(rows)], "doc_id bigint, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.component_table(df).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.component_table(df, k=k).collect()}
     assert got == plain_components([*enumerate(rows)])
 
 
@@ -108,7 +108,7 @@ def test_prefixes_never_miss_a_link():
         hot = rnd.random(len(a)) < rnd.choice([0.1, 0.6, 1.0])
         counts[ngram_join.bucket_of(a[hot])] = rnd.integers(100, 200, hot.sum())
         if ngram_join.links(common, len(a), len(b)):
-            for k in (2, 3):
+            for k in (2, 3, 4):
                 x, y = (ngram_join.prefix_keys(s, counts, 100, k=k)[0] for s in (a, b))
                 assert len(np.intersect1d(x, y)), (len(a), len(b), common, k)
         apart = len(a) + len(b) - 2 * common
