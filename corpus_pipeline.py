@@ -27,6 +27,17 @@ from ledgerline.operators.positions import positions
 NEAR_WORDS, NEAR_SHARE = 5, 80
 
 
+#: Arrow batches of the stages: rows and bytes.  Executors and workers hold several at a time, for all five stages.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the stages' sizes, where the session leaves the default."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _plain(docs: DataFrame) -> DataFrame:
     """``docs`` with every column but doc_id and text under a neutral name,
     so that no operator's own columns clash with them."""
@@ -103,6 +114,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
