@@ -88,3 +88,13 @@ def test_whole_documents_come_back(spark):
         VR.path_value(v, "$.ocr_results[1].has_text", "boolean").alias("t"), VR.path_value(v, "$.ocr_summary.ocr_method", "string").alias("m"),
         VR.path_value(v, "$.line_items[0].pack_info.quantity", "int").alias("q"))
     assert {tuple(r) for r in back.collect()} == {("1", 2, False, "m1", 12), ("2", None, None, None, None)}
+
+
+def test_written_documents_are_compressed(spark):
+    """Lines that repeat their field names take less room than their text."""
+    path = shared_dir(spark, "t-small") + "/t"
+    docs = spark.range(2000).selectExpr("concat('{\"job_id\": ', id, ', \"line_items\": [{\"item_description\": \"bolt\"}]}') as document")
+    SK.sink_json_documents(docs, path)
+    files = spark.read.format("binaryFile").load(path)
+    assert files.agg(F.sum("length")).first()[0] < docs.agg(F.sum(F.length("document"))).first()[0] / 4
+    assert spark.read.text(path).exceptAll(docs).isEmpty() and spark.read.text(path).count() == 2000
