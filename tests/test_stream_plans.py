@@ -53,3 +53,17 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     qs, orc = entry.queries(), entry.oracle_sql()
     assert set(orc) <= set(qs) and len(qs) >= 60
+
+
+def test_a_back_fill_takes_few_batches(spark):
+    """However many files have arrived, they come in a bounded number of
+    micro-batches."""
+    from ledgerline.plans import catalog_stream as CS
+    src = shared_dir(spark, "t-files")
+    spark.range(60).repartition(60).write.parquet(src)
+    files = len(spark.read.parquet(src).inputFiles())
+    assert files > 30 and CS._files_per_batch(spark, src, least=2) == -(-files // CS.BATCHES)
+    assert CS._files_per_batch(spark, src) == CS.FILES_PER_BATCH
+    assert CS._files_per_batch(spark, src, least=50, files=90_000) == 11_250
+    parts = CS._stream_parts(spark, spark.range(60).repartition(60), "t-parts", lambda b: b.select("id"))
+    assert parts.count() == 60 and parts.select("batch_id").distinct().count() <= CS.BATCHES
