@@ -307,3 +307,27 @@ def test_empty_pipeline(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_packing_needs_little_more_than_its_result():
+    """op5 packs and unpacks the tokens of a batch of documents, millions, in
+    each Python worker."""
+    import tracemalloc
+    x = np.random.default_rng(7).integers(0, 1 << 20, 3_000_000)
+    tracemalloc.start()
+    data = lm_scoring.pack(x)
+    packing = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    back = lm_scoring.unpack(data)
+    unpacking = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (back == x).all()
+    assert packing < 50 << 20 and unpacking < len(data) + x.nbytes + (40 << 20)
+
+
+def test_spelling_in_parts(monkeypatch):
+    words = [b"ab", b"", b"xyzzy", b"q" * 40, b"ab"]
+    counts = np.random.default_rng(3).integers(0, 9, lm_scoring.SPELL_ORDERS * 2 << lm_scoring.SPELL_BITS).astype(np.float32)
+    whole = lm_scoring.spelling(words, counts)
+    monkeypatch.setattr(lm_scoring, "SPELLED", 2)
+    assert lm_scoring.spelling(words, counts).tolist() == whole.tolist()
