@@ -331,3 +331,14 @@ def test_spelling_in_parts(monkeypatch):
     whole = lm_scoring.spelling(words, counts)
     monkeypatch.setattr(lm_scoring, "SPELLED", 2)
     assert lm_scoring.spelling(words, counts).tolist() == whole.tolist()
+
+
+def test_large_rows_come_one_at_a_time():
+    """Of a batch of large rows a worker holds one as Python objects."""
+    import pyarrow as pa
+
+    from ledgerline.llm.common import rows_of
+    batch = pa.RecordBatch.from_pylist([{"ids": [k], "tokens": bytes([k])} for k in range(3)])
+    made = rows_of(iter([batch, batch]))
+    assert next(made) == {"ids": [0], "tokens": b"\x00"}
+    assert [r["ids"][0] for r in made] == [1, 2, 0, 1, 2]
