@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import ocr as OC
 from ..session import shared_dir
 from ..sources import tables as TB
+from ..sources.sinks import sink_text_files
 from . import fixtures as FX
 from . import oracle as O
 from .catalog import ITEM_OUT, register
@@ -133,8 +134,8 @@ def q_scan_page_files(spark, sf_dir):
     docs = FX.render_pages(spark, sf_dir).groupBy(F.col("doc_id").cast("string").alias("doc")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), "\f")
         .alias("text"))
-    docs.write.partitionBy("doc").text(base + "/files")
-    return TB.scan_page_files(spark, base + "/files", glob="*.txt", doc_pattern=r"/doc=([^/]+)/")
+    sink_text_files(docs, base + "/files", "doc")
+    return TB.scan_page_files(spark, base + "/files", glob="*.txt", doc_pattern=r"/doc=([^/]+?)(?:\.txt|/[^/]+)$")
 
 
 # ------------------------------------------------------------------ pages -> items, end to end
