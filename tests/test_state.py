@@ -60,6 +60,23 @@ def test_one_row_per_key_and_task_enters_the_state(spark):
     assert made.count() <= 3 * 51 and made.select("k").distinct().count() == 51
 
 
+def test_the_state_is_asked_by_bucket_and_not_by_key(spark, monkeypatch):
+    """Keys that share a bucket are told apart, batch by batch, and their segments become one."""
+    monkeypatch.setattr(ST, "BUCKETS", 3), monkeypatch.setattr(ST, "SEGMENTS", 2)
+    r = Replay(spark, "k double, j string, v int, at timestamp")
+    make = lambda s: ST.dedupe_keyed(s, ["k", "j"], 1000, clock=F.col("at"))
+    nan, n = float("nan"), 0
+    for b in range(5):
+        rows = [(float(k), None if k % 2 else "x", n + k, at(b)) for k in range(b * 5, b * 5 + 10)]   # half of them known
+        r.add(rows + [(nan, "x", -1 - b, at(b)), (None, None, -101 - b, at(b))])
+        n += 100
+    got = [x["v"] for x in r.run(make)]
+    new = [b * 100 + k for b in range(5) for k in range(b * 5 + (5 if b else 0), b * 5 + 10)]
+    assert sorted(got) == sorted([*new, -1, -101])
+    keys = spark.read.format("statestore").option("stateVarName", "seen").load(r.base + "/ck")
+    assert keys.select("key").distinct().count() <= 3
+
+
 def plain_stable(obs, timeout=30):
     out = {}
     for p in {o[0] for o in obs}:
