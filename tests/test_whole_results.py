@@ -206,3 +206,13 @@ def test_inputs_reach_every_rule(spark):
                     F.count_if(F.col("pack_info.quantity") == 0).alias("zero"), reason(X.MISSING_UOM), reason(X.INVALID_PRICE),
                     reason(X.LOW_CONFIDENCE)).first()
     assert lines > candidates > got["n"] > 0 and min(got) > 0
+
+
+def test_batch_summaries_are_read_back_whole(spark, monkeypatch):
+    """The rates that are written are part of the result."""
+    from ledgerline.plans import catalog_jobs
+    rows = [("b1", "completed", 6), ("b1", "completed", 1), ("b1", "failed", 0), ("b2", "failed", 0), (None, "completed", 2)]
+    made = spark.createDataFrame(rows, "batch_id string, status string, total_line_items int")
+    monkeypatch.setattr(catalog_jobs, "_batched", lambda spark, sf_dir: made)
+    got = {r["batch_id"]: tuple(r)[1:] for r in catalog_jobs.q_sink_batch_summary(spark, "").collect()}
+    assert got == {"b1": (3, 2, 1, 7, 0.666666667, 3.5), "b2": (1, 0, 1, 0, 0.0, 0.0), None: (1, 1, 0, 2, 1.0, 2.0)}
