@@ -74,7 +74,8 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = stored(_nodes(_plain(docs)), "pipeline-rows")
-    groups = ngram_join.component_table(rows.select(F.col("node").alias("doc_id"), "text"), words=NEAR_WORDS, share=NEAR_SHARE)
+    groups = ngram_join.component_table(rows.select(F.col("node").alias("doc_id"), "text"), words=NEAR_WORDS, share=NEAR_SHARE,
+                                        links=False)   # who links is not asked, the groups are
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("node")).distinct()
     left = stored(rows.join(gone, "node", "left_anti"), "pipeline-left")
     # rows that repeat both id and text are one document

@@ -96,6 +96,45 @@ def test_ngram_join_of_frequent_members(spark, monkeypatch, k, listed):
     assert got == plain_components([*enumerate(rows)])
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_ngram_join_counts_all_links(spark, monkeypatch, block):
+    """Links inside a component too, also of ids with several texts and of a
+    component in many blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    rnd = random.Random(21)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join([*base[:k % 4], f"x{k % 15}", *base[k % 4 + (k % 3):]])) for k in range(40)]
+    rows += [(100 + k, " ".join(f"y{j}" for j in range(k, k + 60))) for k in range(20)]
+    rows += [(3, rows[45][1]), (5, rows[5][1]), (101, rows[0][1] + " end"), (200, None), (None, rows[0][1])]
+    rnd.shuffle(rows)
+    sets = [(i, frozenset(zip(words(t), words(t)[1:], words(t)[2:], strict=False))) for i, t in rows if i is not None and t]
+    least = {s: min(i for i, t in sets if t == s) for _, s in sets}
+    reps = {*least.values()}
+    linked = defaultdict(set)
+    for i, a in sets:
+        for j, b in sets:
+            if i != j and {i, j} <= reps and 100 * len(a & b) >= 90 * len(a | b):
+                linked[i].add(j)
+    assert max(map(len, linked.values())) > 20
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["n_links"]) for r in ngram_join.component_table(df).collect()]
+    plain = [(i, len(s), len(linked[least[s]])) for i, s in sets]
+    assert sorted(g for g in got if g[0] not in (None, 200)) == sorted(plain)
+    assert ngram_join.component_table(df, links=False).columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def test_common_members_in_parts(monkeypatch):
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 60, n).astype(np.uint64) * np.uint64(1 << 57)) for n in (1, 5, 40, 200, 30, 9)]
+    exact = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    for cells in (1, 20, 1 << 20):
+        monkeypatch.setattr(ngram_join, "CELLS", cells)
+        assert (ngram_join.common_members(sets[:2], sets[2:]) == exact[:2, 2:]).all()
+        within = ngram_join.common_members(sets)
+        assert (within[~np.eye(6, dtype=bool)] == exact[~np.eye(6, dtype=bool)]).all()
+    assert ngram_join.common_members(sets[:1], [sets[1][:0]]).tolist() == [[0]]
+
+
 def test_prefixes_never_miss_a_link():
     rnd = np.random.default_rng(5)
     for _ in range(300):
