@@ -33,3 +33,19 @@ def test_cleaning_squeezes_spaces_and_tabs(spark):
     got = [r.t for r in spark.createDataFrame([*enumerate(texts)], "k int, x string").orderBy("k").select(T.clean_text("x").alias("t")).collect()]
     assert got == ["\n".join(p for p in (q.strip(" \t\x0b\x0c\r") for q in re.sub("[ \t]+", " ", t.replace("\x07", "")).split("\n")) if p)
                    for t in texts]
+
+
+def test_batch_details_make_their_results_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(status):
+        made.add(1)
+        return status
+
+    rows = [("b1", "j1", "completed", None), ("b1", "j2", "failed", "no text"), (None, "j3", "completed", None), ("b2", "j4", None, None)]
+    results = spark.createDataFrame(rows, "batch_id string, job_id string, status string, error_message string").repartition(2)
+    SK.sink_batch_details(results.withColumn("status", seen("status")), str(tmp_path / "t"))
+    assert made.value == 4
+    back = [sorted(r.job_id for r in spark.read.schema("job_id string").json(str(tmp_path / "t" / part)).collect()) for part in ("results", "failures")]
+    assert back == [["j1", "j3"], ["j2"]]
