@@ -13,6 +13,10 @@ from ledgerline.sources import sinks as SK
 SF = "/root/testdata/sf0.001"
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_supplier_is_looked_for_once(spark):
     """The text is cleaned once for both columns of the query."""
     assert optimized(catalog.q_extract_supplier(spark, SF)).count(r"\p{L}\p{N}\s") == 1
@@ -49,3 +53,32 @@ def test_batch_details_make_their_results_once(spark, tmp_path):
     assert made.value == 4
     back = [sorted(r.job_id for r in spark.read.schema("job_id string").json(str(tmp_path / "t" / part)).collect()) for part in ("results", "failures")]
     assert back == [["j1", "j3"], ["j2"]]
+
+
+@pytest.fixture
+def stored(monkeypatch):
+    """Columns of the tables that resolution and the catalogue store, by name."""
+    out, plain = {}, R.materialize
+
+    def kept(df, name):
+        out[name] = df.columns
+        return plain(df, name)
+
+    monkeypatch.setattr(R, "materialize", kept)
+    return out
+
+
+@pytest.mark.parametrize("query", ["q_resolve_uom", "q_resolve_uom_enabled"])
+def test_resolution_stores_what_it_reads(spark, stored, query):
+    assert getattr(catalog_resolve, query)(spark, SF).count() > 0
+    assert not {"raw_line", "supplier_name", "confidence_score"} & {*stored["resolve"]}
+
+
+def test_search_terms_are_made_for_looked_up_items(spark):
+    items = spark.createDataFrame([("j", 0, "box of gloves", "", "", "", 1.0, None, None, None, False, [], None)], (
+        "job_id string, line_no int, item_description string, manufacturer_part_number string, hsn_code string, sac_code string, "
+        "unit_price double, original_uom string, detected_pack_quantity bigint, price_per_base_unit double, escalation_flag boolean, "
+        "escalation_reasons array<string>, pack_info struct<quantity:bigint,unit:string,confidence:double,source:string>"))
+    resolved = R.resolve_uom(items)
+    assert re.search(r"CASE WHEN _try#\d+ THEN concat\(", resolved._jdf.queryExecution().analyzed().toString())
+    assert resolved.select("lookup_attempts").first()[0][0]["lookup_query"] == "box gloves"
