@@ -74,6 +74,11 @@ def test_resolution_stores_what_it_reads(spark, stored, query):
     assert not {"raw_line", "supplier_name", "confidence_score"} & {*stored["resolve"]}
 
 
+def test_catalogue_stores_what_it_matches(spark, stored):
+    catalog_resolve.q_catalog_part_join(spark, SF)
+    assert stored["catalog-items"] == ["o_orderkey", "line_no", "item_description"]
+
+
 def test_search_terms_are_made_for_looked_up_items(spark):
     items = spark.createDataFrame([("j", 0, "box of gloves", "", "", "", 1.0, None, None, None, False, [], None)], (
         "job_id string, line_no int, item_description string, manufacturer_part_number string, hsn_code string, sac_code string, "
