@@ -87,3 +87,14 @@ def test_search_terms_are_made_for_looked_up_items(spark):
     resolved = R.resolve_uom(items)
     assert re.search(r"CASE WHEN _try#\d+ THEN concat\(", resolved._jdf.queryExecution().analyzed().toString())
     assert resolved.select("lookup_attempts").first()[0][0]["lookup_query"] == "box gloves"
+
+
+def test_audit_rows_meet_the_items_they_can_match(spark):
+    audit = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("b", 2, "z"), (None, 1, "n"), ("q", 9, "none")], "job_id string, line_no int, s string")
+    items = spark.createDataFrame([("a", 1, "i"), ("a", 1, "twice"), ("a", 2, "other"), ("b", 2, "j"), (None, 1, "k"), ("c", None, "l")],
+                                  "job_id string, line_no int, d string")
+    got = R.audit_join_items(audit, items)
+    assert got.columns == ["job_id", "line_no", "s", "d"] and "may_contain" in optimized(got)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, audit.join(items, ["job_id", "line_no"]).collect()))
+    wider = items.withColumn("line_no", F.col("line_no").cast("bigint"))
+    assert R.audit_join_items(audit, wider).count() == got.count() == 5
