@@ -98,3 +98,10 @@ def test_audit_rows_meet_the_items_they_can_match(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, audit.join(items, ["job_id", "line_no"]).collect()))
     wider = items.withColumn("line_no", F.col("line_no").cast("bigint"))
     assert R.audit_join_items(audit, wider).count() == got.count() == 5
+
+
+def test_documents_render_their_invoices_once(spark, monkeypatch):
+    calls, plain = [], catalog_jobs.FX.render_invoices
+    monkeypatch.setattr(catalog_jobs.FX, "render_invoices", lambda *a, **k: (calls.append(1), plain(*a, **k))[1])
+    assert catalog_jobs.q_variant_json_documents(spark, SF).count() > 0
+    assert len(calls) == 1
