@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
 from ledgerline.operators import resolve as R
-from ledgerline.plans import catalog, catalog_jobs, catalog_resolve
+from ledgerline.plans import catalog, catalog_jobs, catalog_resolve, catalog_stream
 from ledgerline.sources import sinks as SK
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +105,19 @@ def test_documents_render_their_invoices_once(spark, monkeypatch):
     monkeypatch.setattr(catalog_jobs.FX, "render_invoices", lambda *a, **k: (calls.append(1), plain(*a, **k))[1])
     assert catalog_jobs.q_variant_json_documents(spark, SF).count() > 0
     assert len(calls) == 1
+
+
+def test_the_chain_stores_its_items_once(spark, tmp_path, monkeypatch):
+    names, plain = [], catalog_stream.materialize
+    monkeypatch.setattr(catalog_stream, "materialize", lambda df, name: (names.append(name), plain(df, name))[1])
+    text = "Sold By: Acme\nDescription Qty Amount\nsteel bolt long  5 INR 10.00\nwidget red 12/CS INR 9.00\nSubtotal 4"
+    files = spark.createDataFrame([("j1", "/in/1", text, "h1"), ("j2", "/in/2", " ", "h2"), ("j3", "/in/3", text, "h1")],
+                                  "job_id string, file_path string, txt string, file_hash string").withColumn("modificationTime", F.current_timestamp())
+    answers = spark.createDataFrame([("j1", 2, '{"uom": "BX", "pack_quantity": 5, "confidence": 0.8}')], "job_id string, line_no int, answer string")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    files.write.parquet(src)
+    catalog_stream.run_chain(spark, src, files.schema, out, out + "_ckpt", answers)
+    items, jobs = spark.read.parquet(out + "/items"), spark.read.parquet(out + "/jobs")
+    assert {*names} == {"new-files"}
+    assert items.groupBy("job_id").count().collect() == [("j1", 2)]
+    assert sorted((r.job_id, r.status, r.total_line_items) for r in jobs.collect()) == [("j1", "completed", 2), ("j2", "failed", 0)]
